@@ -5,8 +5,8 @@ ceil(t a) and ceil(t b) shingles at least, so they share one of the first a - ce
 order common to all documents. The order here is by how often a shingle's hash slot occurs in the corpus (a table of SLOTS
 counts over all documents, of fixed size), so that these prefixes hold rare shingles and frequent passages make no cells.
 
-1. A cell is a prefix shingle that two or more classes share. Cells with the same classes are one cell (compared by count, sum and xor of
-   ids, without listing them).
+1. A cell is a prefix shingle, with a range of sizes, that two or more classes share. Cells with the same classes are one cell
+   (compared by count, sum and xor of ids, without listing them); cells of two whose sizes forbid a link are left out.
 2. In a cell, a signature tree is built: leaves are classes, ordered by size; an inner node holds the OR of its children's token bitmaps and
    their range of sizes. Two copies of the tree are traversed together; a pair of nodes is dropped when the
    sizes or the greatest possible overlap (common bits, plus the tokens that share bits) rule a link out, or
@@ -24,6 +24,7 @@ A row with a null doc_id has no links and a null component. Rows that share a do
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ from mortise.session import materialise
 SLOTS = 1 << 18
 PIECES = 16
 BLOCK = 2_000
+CALL = 500
 FANOUT = 8
 
 
@@ -126,6 +128,9 @@ class _Forest:
 def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each of the sets (sorted, distinct, not empty) the index of the first set of its component."""
     n = len(sets)
+    if n == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if 100 * min(map(len, sets)) >= percent * max(map(len, sets)) else 0
+        return np.array([0, 0 if 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) else 1])
     forest = _Forest(n)
     size = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -199,17 +204,32 @@ def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return x, np.split(b, at[1:])
 
 
-def _links(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """members (keys, class_id, tokens) -> links (a, b) that connect what each group connects."""
+def _links(members: DataFrame, keys: list[str], percent: int, rows: int) -> DataFrame:
+    """members (keys, class_id, tokens), about rows of them -> links (a, b) that connect what each group connects.
 
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("class_id").sort_values("class_id")
-        ids = frame["class_id"].to_numpy()
-        root = connect([np.frombuffer(t, dtype=np.uint64) for t in frame["tokens"]], percent)
-        far = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[root[far]], "b": ids[far]})
+    Groups are small as a rule, so several share a call: about CALL rows, besides one group of BLOCK.
+    """
 
-    return members.groupBy(*keys).applyInPandas(of, "a long, b long")
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["cell", "class_id"]).drop_duplicates(["cell", "class_id"])
+        cells, ids = frame["cell"].to_numpy(), frame["class_id"].to_numpy()
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in frame["tokens"]]
+        cuts = np.concatenate((np.flatnonzero(np.diff(cells)) + 1, [len(cells)])) if len(cells) else []
+        a, b, at = [], [], 0
+        for end in cuts:
+            if end - at > 1:
+                root = connect(sets[at:end], percent)
+                far = np.flatnonzero(root != np.arange(end - at))
+                a.append(ids[at + root[far]])
+                b.append(ids[at + far])
+            at = end
+        empty = np.empty(0, dtype=np.int64)
+        return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+
+    cell = F.xxhash64(*keys)
+    calls = max(1, -(-rows // CALL))
+    keyed = members.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(calls)).alias("call"), "class_id", "tokens")
+    return keyed.groupBy("call").applyInPandas(of, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -217,15 +237,25 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialise(_sets(own, n, percent, _frequencies(own, n)), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
-    tokens = classes.select("class_id", F.explode("prefix").alias("token"))
+    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    tokens = classes.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    shared = materialise(tokens.groupBy("token").count().where("count > 1").select("token"), "shared")
+    # sizes of linked sets lie in one class of the scale or in neighbouring ones; a cell holds two neighbouring classes
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9)
+    near = tokens.join(bounded_broadcast(shared), "token").select("class_id", "size", "pos", F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"))
+    near = materialise(near, "near")
+    # Of two linked classes, the smaller has their first common shingle among its first a - ceil(2 t a / (1 + t)) + 1: what
+    # they share lies from there on, and must make up the overlap that a link needs. A cell without such a member has no first common shingle.
+    early = (100 + percent) * (F.col("size") - F.col("pos")) >= 2 * percent * F.col("size")
     mark = F.xxhash64("class_id")
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 16)).alias("s")).where("n > 1")
+    groups = near.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 16)).alias("s"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("both"), F.min(F.col("size") - F.col("pos")).alias("left"), F.max(early).alias("early"))
+    fits = (100 * F.col("low") >= percent * F.col("high")) & ((100 + percent) * F.col("left") >= percent * F.col("both"))
+    groups = groups.where(F.col("early") & ((F.col("n") > 2) | ((F.col("n") == 2) & fits)))
     cells = materialise(groups.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token", "n"), "cells")
-    members = materialise(tokens.join(bounded_broadcast(cells), "token"), "members")
+    members = materialise(near.join(bounded_broadcast(cells), "token").select("token", "n", "class_id"), "members")
     wanted = materialise(members.select("class_id").distinct(), "wanted")
     chosen = own.join(bounded_broadcast(wanted).withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    arrays = materialise(_arrays(chosen, n), "arrays")
+    arrays = _arrays(chosen, n)
 
     blocks = F.ceil(F.col("n") / block)
     small = members.where(F.col("n") <= block).select("token", F.lit(-1).alias("block"), "class_id")
@@ -233,7 +263,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
     firsts = large.groupBy("token", "k").agg(F.min("class_id").alias("class_id"))
     everywhere = firsts.select("token", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "class_id")
     dealt = small.union(large.select("token", "block", "class_id")).union(everywhere.select("token", "block", "class_id")).distinct()
-    links = materialise(_links(dealt.join(arrays, "class_id"), ["token", "block"], percent), "found")
+    rows = members.agg(F.sum(F.lit(1))).first()[0] or 0
+    links = materialise(_links(dealt.join(arrays, "class_id"), ["token", "block"], percent, rows), "found")
     if not large.isEmpty():
         roots = materialise(components(links), "roots")
         root_of = lambda df: df.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
@@ -244,7 +275,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
             parts = rest.select("token", "part").distinct()
             one = large.join(parts, "token").select("token", "block", "part", "class_id")
             two = rest.select("token", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "part", "class_id")
-            more = _links(one.union(two).distinct().join(arrays, "class_id"), ["token", "block", "part"], percent)
+            more = _links(one.union(two).distinct().join(arrays, "class_id"), ["token", "block", "part"], percent, rows)
             links = links.union(more)
     roots = components(links)
     named = classes.select("digest", "class_id").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
