@@ -37,7 +37,7 @@ from mortise.llm.graph import bounded_broadcast, components
 from mortise.llm.words import chunks, shingle_sets
 from mortise.session import materialise
 
-SLOTS = 1 << 18
+SLOTS = 1 << 21
 PIECES = 16
 BLOCK = 2_000
 CALL = 500
@@ -45,15 +45,15 @@ FANOUT = 8
 
 
 def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents' shingles fall in each of SLOTS hash slots: 2 MB, however large the corpus."""
+    """How many documents' shingles fall in each of SLOTS hash slots: 16 MB, however large the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for _, texts in chunks(batches):
             for s in shingle_sets(texts, n):
-                total += 0 if not len(s) else np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
+                total += 0 if not len(s) else np.bincount((s >> np.uint64(43)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
                 if 0 < len(s) <= SLOTS // 8:
-                    np.add.at(total, (s >> np.uint64(46)).astype(np.int64), 1)
+                    np.add.at(total, (s >> np.uint64(43)).astype(np.int64), 1)
         for k, part in enumerate(np.split(total, PIECES)):
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
@@ -72,28 +72,29 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; empty for the empty set), prefix."""
+    """doc_id, n_shingles, digest (of the set; empty for the empty set), prefix, bits (the set's bitmap)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))  # SLOTS counts
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for ids, texts in chunks(batches):
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, bits = [], [], [], []
             for s in shingle_sets(texts, n):
                 m = len(s)
                 first = m - (percent * m + 99) // 100 + 1 if m else 0
-                order = np.lexsort((s, rank[(s >> np.uint64(46)).astype(np.int64)]))[:first]
+                order = np.lexsort((s, rank[(s >> np.uint64(43)).astype(np.int64)]))[:first]
                 sizes.append(m)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if m else b"")
                 prefixes.append(s[order].view(np.int64))
+                bits.append(bitmap(s).tobytes())
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             cuts = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(of, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    return docs.mapInArrow(of, "doc_id long, n_shingles long, digest binary, prefix array<long>, bits binary")
 
 
 def _arrays(docs: DataFrame, n: int) -> DataFrame:
@@ -125,6 +126,82 @@ class _Forest:
         return np.array([self.find(x) for x in range(len(self.up))])
 
 
+def bitmap(tokens: np.ndarray, words: int = 0) -> np.ndarray:
+    """A bitmap of tokens in words of 64 bits; by default a power of two that holds two bits a token."""
+    words = words or 1 << max(0, (len(tokens) - 1) // 32).bit_length()
+    out = np.zeros(words, dtype=np.uint64)
+    slot = (tokens >> np.uint64(20)) % np.uint64(64 * words)
+    np.bitwise_or.at(out, (slot // np.uint64(64)).astype(np.int64), np.uint64(1) << (slot % np.uint64(64)))
+    return out
+
+
+def _fold(x: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same tokens in fewer words."""
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def _possible(most: np.ndarray, extra_a: np.ndarray, extra_b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether common bits, and tokens that share bits, leave room for the overlap that a link needs between sets of the given total size."""
+    return most + np.minimum(extra_a, extra_b) >= -(-percent * sizes // (100 + percent))
+
+
+def candidates(leaf: np.ndarray, size: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal of the signature tree over sets with the given bitmaps and sizes: the pairs that may be linked and are not in one component yet."""
+    order = np.argsort(size, kind="stable")
+    # levels from the leaves up: bitmap, smallest and largest size, most tokens that share bits, component (-1: several)
+    level = [leaf[order], size[order], size[order], (size - np.bitwise_count(leaf).sum(1).astype(np.int64))[order], comp[order]]
+    tree = [level]
+    while len(level[1]) > 1:
+        cut = np.arange(0, len(level[1]), FANOUT)
+        low, high = np.minimum.reduceat(level[4], cut), np.maximum.reduceat(level[4], cut)
+        level = [np.bitwise_or.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.maximum.reduceat(level[3], cut), np.where(low == high, low, -1)]
+        tree.append(level)
+    a = b = np.zeros(1, dtype=np.int64)
+    for depth in range(len(tree) - 1, -1, -1):
+        bits, low, high, extra, same = tree[depth]
+        keep = ~((same[a] == same[b]) & (same[a] >= 0)) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+        a, b = a[keep], b[keep]
+        fits = np.zeros(len(a), dtype=bool)
+        for k in range(0, len(a), 50_000):
+            i, j = a[k : k + 50_000], b[k : k + 50_000]
+            most = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
+            fits[k : k + 50_000] = _possible(most, extra[i], extra[j], low[i] + low[j], percent)
+        a, b = a[fits], b[fits]
+        if not len(a) or not depth:
+            break
+        below = len(tree[depth - 1][1])
+        i = (a[:, None, None] * FANOUT + np.arange(FANOUT)[None, :, None] + np.zeros((1, 1, FANOUT), dtype=np.int64)).ravel()
+        j = (b[:, None, None] * FANOUT + np.arange(FANOUT)[None, None, :] + np.zeros((1, FANOUT, 1), dtype=np.int64)).ravel()
+        keep = (i < below) & (j < below) & (i <= j)
+        a, b = i[keep], j[keep]
+    return order[a], order[b]
+
+
+def promising(bitmaps: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets may be linked to another one of them, as far as bitmaps and sizes tell."""
+    n, words = len(size), min(map(len, bitmaps))
+    leaf = np.stack([_fold(x, words) for x in bitmaps])
+    extra = size - np.bitwise_count(leaf).sum(1).astype(np.int64)
+    marked = np.zeros(n, dtype=bool)
+    for _ in range(3):  # in a group of near copies a star marks nearly all
+        rest = np.flatnonzero(~marked)
+        if not len(rest):
+            return marked
+        x = int(rest[len(rest) // 2])
+        most = np.bitwise_count(leaf & leaf[x]).sum(1).astype(np.int64)
+        near = _possible(most, extra, extra[x], size + size[x], percent) & (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size)
+        near[x] = False
+        if near.any():
+            marked |= near
+            marked[x] = True
+    a, b = candidates(leaf, size, np.where(marked, 0, np.arange(1, n + 1)), percent)
+    apart = a != b
+    marked[a[apart]] = marked[b[apart]] = True
+    return marked
+
+
 def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each of the sets (sorted, distinct, not empty) the index of the first set of its component."""
     n = len(sets)
@@ -155,41 +232,9 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
         left = np.flatnonzero(roots != np.bincount(roots).argmax())
         if not len(left):
             return roots
-    order = np.argsort(size, kind="stable")
-    bits = 64 * int(np.clip(2 ** np.ceil(np.log2(size.max() / 16 + 1)), 4, 1024))
-    leaf = np.zeros((n, bits // 64), dtype=np.uint64)
-    slot = (flat >> np.uint64(20)) % np.uint64(bits)
-    np.bitwise_or.at(leaf, (np.repeat(np.arange(n), size), (slot // np.uint64(64)).astype(np.int64)), np.uint64(1) << (slot % np.uint64(64)))
-    # levels from the leaves up: bitmap, smallest and largest size, most tokens that share bits, component (-1: several)
-    comp = forest.labels()[order]
-    level = [leaf[order], size[order], size[order], (size - np.bitwise_count(leaf).sum(1).astype(np.int64))[order], comp]
-    tree = [level]
-    while len(level[1]) > 1:
-        cut = np.arange(0, len(level[1]), FANOUT)
-        low, high = np.minimum.reduceat(level[4], cut), np.maximum.reduceat(level[4], cut)
-        level = [np.bitwise_or.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.maximum.reduceat(level[3], cut), np.where(low == high, low, -1)]
-        tree.append(level)
-    a = b = np.zeros(1, dtype=np.int64)
-    for depth in range(len(tree) - 1, -1, -1):
-        bitmap, low, high, extra, comp = tree[depth]
-        keep = ~((comp[a] == comp[b]) & (comp[a] >= 0)) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-        a, b = a[keep], b[keep]
-        fits = np.zeros(len(a), dtype=bool)
-        for k in range(0, len(a), 50_000):
-            i, j = a[k : k + 50_000], b[k : k + 50_000]
-            most = np.bitwise_count(bitmap[i] & bitmap[j]).sum(1).astype(np.int64)
-            need = -(-percent * (low[i] + low[j]) // (100 + percent))
-            fits[k : k + 50_000] = (most + np.minimum(extra[i], extra[j]) >= need)
-        a, b = a[fits], b[fits]
-        if not len(a) or not depth:
-            break
-        below = len(tree[depth - 1][1])
-        i = (a[:, None, None] * FANOUT + np.arange(FANOUT)[None, :, None] + np.zeros((1, 1, FANOUT), dtype=np.int64)).ravel()
-        j = (b[:, None, None] * FANOUT + np.arange(FANOUT)[None, None, :] + np.zeros((1, FANOUT, 1), dtype=np.int64)).ravel()
-        keep = (i < below) & (j < below) & (i <= j)
-        a, b = i[keep], j[keep]
+    words = int(np.clip(2 ** np.ceil(np.log2(size.max() / 16 + 1)), 4, 1024))
+    a, b = candidates(np.stack([bitmap(x, words) for x in sets]), size, forest.labels(), percent)
     if len(a):
-        a, b = order[a], order[b]
         by = np.argsort(a, kind="stable")
         a, b = a[by], b[by]
         for x, others in zip(*_runs(a, b)):
@@ -204,32 +249,46 @@ def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return x, np.split(b, at[1:])
 
 
+def _calls(members: DataFrame, keys: list[str], rows: int, *columns: str):  # noqa: ANN202
+    """members grouped for applyInPandas. Groups of keys are small as a rule, so several share a call: about CALL rows of rows, besides one group of BLOCK."""
+    cell = F.xxhash64(*keys)
+    calls = max(1, -(-rows // CALL))
+    return members.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(calls)).alias("call"), "class_id", *columns).groupBy("call")
+
+
+def _by_cell(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    frame = frame.sort_values(["cell", "class_id"]).drop_duplicates(["cell", "class_id"])
+    cells, at = frame["cell"].to_numpy(), 0
+    for end in [*(np.flatnonzero(np.diff(cells)) + 1), len(cells)] if len(cells) else []:
+        if end - at > 1:
+            yield frame.iloc[at:end]
+        at = end
+
+
 def _links(members: DataFrame, keys: list[str], percent: int, rows: int) -> DataFrame:
-    """members (keys, class_id, tokens), about rows of them -> links (a, b) that connect what each group connects.
+    """members (keys, class_id, tokens), about rows of them -> links (a, b) that connect what each group connects."""
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for own in _by_cell(frame):
+            ids = own["class_id"].to_numpy()
+            root = connect([np.frombuffer(t, dtype=np.uint64) for t in own["tokens"]], percent)
+            far = np.flatnonzero(root != np.arange(len(ids)))
+            a.append(ids[root[far]])
+            b.append(ids[far])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return _calls(members, keys, rows, "tokens").applyInPandas(of, "a long, b long")
 
-    Groups are small as a rule, so several share a call: about CALL rows, besides one group of BLOCK.
-    """
+
+def _promising(members: DataFrame, keys: list[str], percent: int, rows: int) -> DataFrame:
+    """members (keys, class_id, size, bits) -> (cell, class_id): those whose bitmaps leave room for a link inside their group; cell is a hash of keys."""
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cell", "class_id"]).drop_duplicates(["cell", "class_id"])
-        cells, ids = frame["cell"].to_numpy(), frame["class_id"].to_numpy()
-        sets = [np.frombuffer(t, dtype=np.uint64) for t in frame["tokens"]]
-        cuts = np.concatenate((np.flatnonzero(np.diff(cells)) + 1, [len(cells)])) if len(cells) else []
-        a, b, at = [], [], 0
-        for end in cuts:
-            if end - at > 1:
-                root = connect(sets[at:end], percent)
-                far = np.flatnonzero(root != np.arange(end - at))
-                a.append(ids[at + root[far]])
-                b.append(ids[at + far])
-            at = end
-        empty = np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+        out = [own[promising([np.frombuffer(x, dtype=np.uint64) for x in own["bits"]], own["size"].to_numpy(), percent)][["cell", "class_id"]] for own in _by_cell(frame)]
+        return pd.concat(out) if out else pd.DataFrame({"cell": np.empty(0, np.int64), "class_id": np.empty(0, np.int64)})
 
-    cell = F.xxhash64(*keys)
-    calls = max(1, -(-rows // CALL))
-    keyed = members.select(cell.alias("cell"), F.pmod(F.xxhash64(cell), F.lit(calls)).alias("call"), "class_id", "tokens")
-    return keyed.groupBy("call").applyInPandas(of, "a long, b long")
+    return _calls(members, keys, rows, "size", "bits").applyInPandas(of, "cell long, class_id long")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -237,8 +296,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialise(_sets(own, n, percent, _frequencies(own, n)), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
-    tokens = classes.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by(F.struct("prefix", "bits"), "doc_id").alias("own")), "classes")
+    tokens = classes.select("class_id", "size", F.posexplode("own.prefix").alias("pos", "token"))
     shared = materialise(tokens.groupBy("token").count().where("count > 1").select("token"), "shared")
     # sizes of linked sets lie in one class of the scale or in neighbouring ones; a cell holds two neighbouring classes
     step = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9)
@@ -248,22 +307,30 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
     # they share lies from there on, and must make up the overlap that a link needs. A cell without such a member has no first common shingle.
     early = (100 + percent) * (F.col("size") - F.col("pos")) >= 2 * percent * F.col("size")
     mark = F.xxhash64("class_id")
-    groups = near.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 16)).alias("s"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("both"), F.min(F.col("size") - F.col("pos")).alias("left"), F.max(early).alias("early"))
+    measure = (F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 16)).alias("s"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("both"), F.min(F.col("size") - F.col("pos")).alias("left"), F.max(early).alias("early"))
     fits = (100 * F.col("low") >= percent * F.col("high")) & ((100 + percent) * F.col("left") >= percent * F.col("both"))
-    groups = groups.where(F.col("early") & ((F.col("n") > 2) | ((F.col("n") == 2) & fits)))
+    worth = F.col("early") & ((F.col("n") > 2) | ((F.col("n") == 2) & fits))
+    groups = near.groupBy("token").agg(*measure).where(worth)
+    # what a member has left must do for the smallest partner it may have; then the cells are counted again
+    least = F.greatest(100 * F.col("low"), percent * F.col("size"))
+    fit = near.join(bounded_broadcast(materialise(groups.select("token", "low"), "groups")), "token").where(100 * (100 + percent) * (F.col("size") - F.col("pos")) >= percent * (100 * F.col("size") + least))
+    near = materialise(fit.select("token", "class_id", "size", "pos"), "near")
+    groups = near.groupBy("token").agg(*measure).where(worth)
     cells = materialise(groups.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token", "n"), "cells")
     members = materialise(near.join(bounded_broadcast(cells), "token").select("token", "n", "class_id"), "members")
-    wanted = materialise(members.select("class_id").distinct(), "wanted")
-    chosen = own.join(bounded_broadcast(wanted).withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    arrays = _arrays(chosen, n)
-
     blocks = F.ceil(F.col("n") / block)
-    small = members.where(F.col("n") <= block).select("token", F.lit(-1).alias("block"), "class_id")
+    small = members.where(F.col("n") <= block)
     large = members.where(F.col("n") > block).select("token", "class_id", blocks.cast("int").alias("k"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"))
+    # Bitmaps first, in cells of up to a block: only members that may have a link there need their sets compared.
+    rows = members.count()
+    drawn = small.join(classes.select("class_id", "size", F.col("own.bits").alias("bits")), "class_id")
+    small = materialise(_promising(drawn, ["token"], percent, rows), "promising").withColumnRenamed("cell", "token")
     firsts = large.groupBy("token", "k").agg(F.min("class_id").alias("class_id"))
     everywhere = firsts.select("token", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "class_id")
-    dealt = small.union(large.select("token", "block", "class_id")).union(everywhere.select("token", "block", "class_id")).distinct()
-    rows = members.agg(F.sum(F.lit(1))).first()[0] or 0
+    dealt = small.select("token", F.lit(-1).alias("block"), "class_id").union(large.select("token", "block", "class_id")).union(everywhere.select("token", "block", "class_id")).distinct()
+    wanted = materialise(small.select("class_id").union(large.select("class_id")).distinct(), "wanted")
+    chosen = own.join(bounded_broadcast(wanted).withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    arrays = _arrays(chosen, n)
     links = materialise(_links(dealt.join(arrays, "class_id"), ["token", "block"], percent, rows), "found")
     if not large.isEmpty():
         roots = materialise(components(links), "roots")
