@@ -50,10 +50,7 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for _, texts in chunks(batches):
-            for s in shingle_sets(texts, n):
-                total += 0 if not len(s) else np.bincount((s >> np.uint64(43)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                if 0 < len(s) <= SLOTS // 8:
-                    np.add.at(total, (s >> np.uint64(43)).astype(np.int64), 1)
+            np.add.at(total, (np.concatenate(shingle_sets(texts, n)) >> np.uint64(43)).astype(np.int64), 1)
         for k, part in enumerate(np.split(total, PIECES)):
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
