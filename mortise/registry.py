@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mortise.plans import ensembles, relations, statistics
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES
