@@ -14,6 +14,7 @@ several parts.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mortise.llm.graph import bounded_broadcast
 from mortise.llm.words import LOWER, chunks
+from mortise.session import materialise
 
 WINDOW = 13
 PART_BYTES = 2_000_000
@@ -51,7 +54,7 @@ def _parts(items: DataFrame) -> list[list[tuple[str, bytes]]]:
     return parts
 
 
-def _automaton(key: int, part: list[tuple[str, bytes]]):  # noqa: ANN202
+def _automaton(key: str, part: list[tuple[str, bytes]]):  # noqa: ANN202
     """The part's automaton, built once in each Python worker; a pattern's value is its length in words and the items that have it."""
     if key not in _built:
         import ahocorasick
@@ -79,7 +82,7 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def _scan(docs: DataFrame, shared, spans: bool) -> DataFrame:  # noqa: ANN001
     """doc_id, n_words, hits (numbers of hit words), items, spans."""
-    key = hash((id(shared), shared.id if hasattr(shared, "id") else 0))
+    key = uuid.uuid4().hex  # workers outlive a job, so each broadcast has a name of its own
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = None
@@ -119,7 +122,8 @@ def contamination(docs: DataFrame, items: DataFrame, spans: bool = True) -> Data
     """A row for each row of docs: doc_id, n_words, n_hit, items (ids whose windows occur, sorted as strings), contaminated, spans (of hit words in the text)."""
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [_scan(own, spark.sparkContext.broadcast(part), spans) for part in _parts(items)]
+    parts = _parts(items)
+    found = [_scan(own, spark.sparkContext.broadcast(part), bool(spans)) for part in parts]
     if len(found) == 1:
         out = found[0].withColumn("n_hit", F.size("hits").cast("long"))
     else:
@@ -137,8 +141,8 @@ def items_digest(items: list[str]) -> str:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without contaminated documents; a row with a null doc_id stays only if its own text is clean."""
+    """docs without contaminated documents. A row is judged by its own text, whatever its doc_id."""
     keyed = docs.withColumn("_m_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     found = contamination(keyed.select(F.col("_m_key").alias("doc_id"), "text"), items, spans=False)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_m_gone")).distinct()
-    return keyed.join(gone, F.col("_m_key") == F.col("_m_gone"), "left_anti").drop("_m_key")
+    gone = materialise(found.where("contaminated").select(F.col("doc_id").alias("_m_gone")).distinct(), "contaminated")
+    return keyed.join(bounded_broadcast(gone), F.col("_m_key") == F.col("_m_gone"), "left_anti").drop("_m_key")

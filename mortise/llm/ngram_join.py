@@ -352,5 +352,5 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their component; of rows with one doc_id all stay or all go."""
     found = similar_documents(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_m_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_m_id"), "left_anti")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_m_id")).distinct(), "gone")
+    return docs.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_m_id"), "left_anti")
