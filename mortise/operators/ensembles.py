@@ -14,7 +14,7 @@ def by_id(runs: DataFrame, key: str, pred: str, weight: str | None = None) -> Da
         out.append((F.sum(use * F.col(pred)) / F.nullif(F.sum(use), F.lit(0.0))).alias("weighted"))
     k = F.when(F.col("n") < 5, 0).otherwise(F.floor(F.col("n") * 0.1)).cast("int")
     kept = F.slice("all_", k + 1, F.greatest((F.col("n") - 2 * k).cast("int"), F.lit(1)))
-    trimmed = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
+    trimmed = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x), F.size(kept))
     return runs.groupBy(key).agg(*out).withColumn("trimmed", trimmed).drop("all_")
 
 

@@ -70,4 +70,4 @@ def cliffs_delta(df: DataFrame, group: str, value: str) -> DataFrame:
     below = F.sum("b").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
     placed = c.withColumn("below", below)
     total = placed.agg(F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(F.col("a") * F.col("below")).alias("gt"), F.sum(F.col("a") * F.col("b")).alias("eq"))
-    return total.select("n1", "n0", ((2 * F.col("gt") + F.col("eq") - F.col("n1") * F.col("n0")) / (F.col("n1") * F.col("n0"))).alias("delta"))
+    return total.select("n1", "n0", F.try_divide(2 * F.col("gt") + F.col("eq") - F.col("n1") * F.col("n0"), F.col("n1") * F.col("n0")).alias("delta"))

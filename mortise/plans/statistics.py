@@ -51,7 +51,7 @@ def effect_high_low(spark: SparkSession, sf: str) -> DataFrame:
     q = l.agg(st.quantile("l_quantity", 0.25).alias("a"), st.quantile("l_quantity", 0.75).alias("b"))
     sides = l.crossJoin(F.broadcast(q)).select("l_extendedprice", F.when(F.col("l_quantity") <= F.col("a"), "low").when(F.col("l_quantity") >= F.col("b"), "high").alias("side"))
     m = sides.agg(*(F.expr(f"percentile(l_extendedprice, 0.5) filter (where side = '{s}')").alias(f"median_{s}") for s in ("high", "low")), F.stddev_pop("l_extendedprice").alias("sd"))
-    return rounded(m.select("median_high", "median_low", (F.col("median_high") - F.col("median_low")).alias("effect"), ((F.col("median_high") - F.col("median_low")) / F.col("sd")).alias("effect_sd")), 4)
+    return rounded(m.select("median_high", "median_low", (F.col("median_high") - F.col("median_low")).alias("effect"), F.try_divide(F.col("median_high") - F.col("median_low"), "sd").alias("effect_sd")), 4)
 
 
 def cliffs_delta(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +72,7 @@ def outlier_flags(spark: SparkSession, sf: str) -> DataFrame:
 def smd_report(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem")
     a = l.agg(*(f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_extendedprice", "l_discount") for n, f in (("s", lambda c: F.avg(F.when(F.col("l_returnflag") == "A", F.col(c)))), ("t", lambda c: F.avg(F.when(F.col("l_returnflag") == "R", F.col(c)))), ("d", lambda c: F.stddev_samp(F.when(F.col("l_returnflag") == "A", F.col(c)))))))
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), ((F.col(f"t_{c}") - F.col(f"s_{c}")) / F.col(f"d_{c}")).alias("smd")) for c in ("l_quantity", "l_extendedprice", "l_discount"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.try_divide(F.col(f"t_{c}") - F.col(f"s_{c}"), F.col(f"d_{c}")).alias("smd")) for c in ("l_quantity", "l_extendedprice", "l_discount"))))
     return rounded(a.select(rows.alias("r")).select("r.*"), 5)
 
 

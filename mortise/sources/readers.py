@@ -39,7 +39,7 @@ def read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 def read_cif_sites(spark: SparkSession, root: str) -> DataFrame:
     """structure_id, a, b, c, alpha, beta, gamma, idx, symbol, fx, fy, fz: the atom-site loops of CIF files, one row an atom."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.cif").text(root)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cif").text(root, wholetext=True)
     text = text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.cif$", 1).alias("structure_id"), "value")
     cell = {n: F.expr(f"try_cast(regexp_extract(value, '_cell_{k}\\\\s+([-0-9.]+)', 1) as double)") for n, k in (("a", "length_a"), ("b", "length_b"), ("c", "length_c"), ("alpha", "angle_alpha"), ("beta", "angle_beta"), ("gamma", "angle_gamma"))}
     loop = F.regexp_extract("value", r"(?s)((?:\s*_atom_site_\w+)+\s*\n.*?)(?:\nloop_|\n_|\n#|\z)", 1)
