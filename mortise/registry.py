@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mortise.plans import calibration, ensembles, relations, statistics
+from mortise.plans import calibration, ensembles, records, relations, statistics
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES | calibration.QUERIES
+    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES | calibration.QUERIES | records.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES | calibration.ORACLES
+    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES | calibration.ORACLES | records.ORACLES
