@@ -21,3 +21,17 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 def new_only(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Each event_id once; the state is bounded by the watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def sliding(events: DataFrame, width: str = "6 hours", step: str = "2 hours", late: str = "2 hours") -> DataFrame:
+    """start, n, total: counts and sums in overlapping windows of event time."""
+    at = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = at.withWatermark("ts", late) if events.isStreaming else at
+    return at.groupBy(F.window("ts", width, step).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """user_id, start, end, n: each user's runs of events that follow one another within the gap; end is the last event plus the gap."""
+    at = events.where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = at.withWatermark("ts", late) if events.isStreaming else at
+    return at.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
