@@ -6,9 +6,9 @@ blanks, and reads each normalised document once. A document's word inside any oc
 back to the original text. A document is contaminated when n_hit > 0 and 20 * n_hit >= n_words.
 
 The benchmark is collected and broadcast in parts of at most PART_BYTES of normalised text, one automaton each, so a worker
-holds one bounded automaton; with several parts the documents are read once for each and
-their hits merged by document. Null texts have no words. Rows that share a doc_id count as one document only when there are
-several parts.
+holds one bounded automaton; with several parts the rows are stored with a key of their own, read once for each part and
+their hits merged by that key. Null texts have no words. Each row is judged by itself, whatever its doc_id. Windows of an
+item without an id count as hits and name no item.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def _windows(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
 
-def _parts(items: DataFrame) -> list[list[tuple[str, bytes]]]:
+def _parts(items: DataFrame) -> list[list[tuple[str | None, bytes]]]:
     """The benchmark's (item_id, normalised text) in parts of bounded size, read row by row."""
     parts: list[list] = [[]]
     size = 0
     for item_id, text in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = (text or "").encode().translate(NORMAL).split()
-        if not words or item_id is None:
+        if not words:
             continue
         if size and size + len(words) * 8 > PART_BYTES:
             parts.append([])
@@ -54,7 +54,7 @@ def _parts(items: DataFrame) -> list[list[tuple[str, bytes]]]:
     return parts
 
 
-def _automaton(key: str, part: list[tuple[str, bytes]]):  # noqa: ANN202
+def _automaton(key: str, part: list[tuple[str | None, bytes]]):  # noqa: ANN202
     """The part's automaton, built once in each Python worker; a pattern's value is its length in words and the items that have it."""
     if key not in _built:
         import ahocorasick
@@ -63,7 +63,7 @@ def _automaton(key: str, part: list[tuple[str, bytes]]):  # noqa: ANN202
         own: dict[bytes, list] = {}
         for item_id, text in part:
             for w in dict.fromkeys(_windows(text.split())):
-                own.setdefault(w, []).append(item_id)
+                own.setdefault(w, []).extend([] if item_id is None else [item_id])
         machine = ahocorasick.Automaton()
         for w, ids in own.items():
             machine.add_word(" " + w.decode("latin-1") + " ", (w.count(b" ") + 1, ids))
@@ -123,15 +123,16 @@ def contamination(docs: DataFrame, items: DataFrame, spans: bool = True) -> Data
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = _parts(items)
-    found = [_scan(own, spark.sparkContext.broadcast(part), bool(spans)) for part in parts]
-    if len(found) == 1:
-        out = found[0].withColumn("n_hit", F.size("hits").cast("long"))
+    if len(parts) == 1:
+        out = _scan(own, spark.sparkContext.broadcast(parts[0]), bool(spans)).withColumn("n_hit", F.size("hits").cast("long"))
     else:
+        rows = materialise(own.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "rows")  # stored, so that every part sees the same keys
+        found = [_scan(rows.select(F.col("key").alias("doc_id"), "text"), spark.sparkContext.broadcast(part), bool(spans)) for part in parts]
         all_of = found[0]
         for more in found[1:]:
             all_of = all_of.union(more)
         merged = all_of.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        out = merged.withColumn("n_hit", F.size("hits").cast("long"))
+        out = rows.select("key", "doc_id").join(merged.withColumnRenamed("doc_id", "key"), "key").withColumn("n_hit", F.size("hits").cast("long"))
     return out.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
 
 
