@@ -1,7 +1,7 @@
 """Operator 7: a byte-level convolutional network in numpy that rates the quality of texts.
 
 A text's UTF-8 bytes are cut into chunks of CHUNK bytes that overlap by WIDTH - 1, so that every window of WIDTH bytes lies whole in some chunk and
-the chunks cover the whole text. FILTERS learned filters run over each chunk with a stride of STRIDE bytes; a filter
+the chunks cover the whole text. FILTERS learned filters run over each chunk at every byte (STRIDE is 1); a filter
 is a table of 256 values for each of its WIDTH offsets, that is a convolution over one-hot bytes. Each filter's outputs are rectified
 and max-pooled in the chunk; the text has the maxima and the means of its chunks' pooled values, and the logarithm of
 its length; a logistic unit makes one probability of them.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from mortise.llm.toxicity import fold, training_rows
 from mortise.llm.words import chunks
 
-CHUNK, WIDTH, STRIDE, FILTERS = 512, 6, 2, 16
+CHUNK, WIDTH, STRIDE, FILTERS = 512, 6, 1, 16
 TRAIN_ROWS, TRAIN_CHUNKS = 3_000, 8
 PASSES, RATE = 8, 0.01
 
@@ -40,21 +40,21 @@ def pieces(text: bytes) -> np.ndarray:
 def outputs(x: np.ndarray, tables: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """chunks x windows x filters, before rectifying. Two offsets are looked up at once, as a pair of bytes."""
     pairs = (tables[0::2][:, :, None, :] + tables[1::2][:, None, :, :]).reshape(WIDTH // 2, 65536, FILTERS)
-    wide = x[:, 0::2].astype(np.int32) * 256 + x[:, 1::2]
-    n = (CHUNK - WIDTH) // STRIDE + 1
+    wide = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
+    n = CHUNK - WIDTH + 1
     out = pairs[0][wide[:, :n]]
     for k in range(1, WIDTH // 2):
-        out += pairs[k][wide[:, k : k + n]]
+        out += pairs[k][wide[:, 2 * k : 2 * k + n]]
     return out + bias
 
 
 def pooled(x: np.ndarray, pairs: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
     """chunks x filters: rectified maxima."""
-    wide = x[:, 0::2].astype(np.int32) * 256 + x[:, 1::2]
-    n = (CHUNK - WIDTH) // STRIDE + 1
+    wide = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
+    n = CHUNK - WIDTH + 1
     out = np.take(pairs[0], wide[:, :n], axis=0)
     for k in range(1, WIDTH // 2):
-        out += np.take(pairs[k], wide[:, k : k + n], axis=0)
+        out += np.take(pairs[k], wide[:, 2 * k : 2 * k + n], axis=0)
     return np.maximum(out.max(1) + bias, 0)
 
 
@@ -75,7 +75,7 @@ class Net:
 
         def score(text: bytes) -> float:
             x = pieces(text)
-            p = np.concatenate([pooled(x[k : k + 64], pairs, self.bias) for k in range(0, len(x), 64)])
+            p = np.concatenate([pooled(x[k : k + 32], pairs, self.bias) for k in range(0, len(x), 32)])
             z = float(describe(p, len(text)) @ self.unit + self.shift[0])
             return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
