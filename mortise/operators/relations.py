@@ -43,12 +43,30 @@ def best_match(pairs: DataFrame, left: str, right: str, score: str, least: float
     return ranked.where(ok).withColumn("confidence", F.least(F.greatest(F.col(score), F.lit(0.55)), F.lit(0.78))).drop("k_", "next_")
 
 
+#: Query rows that may be broadcast; more are dealt to blocks of that size.
+QUERY_BLOCK = 20_000
+#: Rows that a block of queries meets in one task.
+ROW_BLOCK = 20_000
+
+
+def each_with(rows: DataFrame, asked: DataFrame, key: str, q_key: str) -> DataFrame:
+    """Every row with every query. Up to QUERY_BLOCK queries are broadcast; more are dealt by hash to blocks, rows likewise, and each block of the one is joined with each of the other."""
+    if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        return rows.crossJoin(F.broadcast(asked))
+    n, m = (-(-df.count() // size) for df, size in ((asked, QUERY_BLOCK), (rows, ROW_BLOCK)))
+    dealt = lambda df, own, k, count: df.withColumn(own, F.pmod(F.xxhash64(k), F.lit(count)).cast("int"))
+    copied = lambda df, other, count: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    right = copied(dealt(asked, "q_block_", q_key, n), "r_block_", max(1, m))
+    left = copied(dealt(rows, "r_block_", key, max(1, m)), "q_block_", n)
+    return left.join(right.hint("shuffle_hash"), ["q_block_", "r_block_"]).drop("q_block_", "r_block_")
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """q_id, key, cosine, place: the k nearest vectors of each query by cosine, ties by key. Queries are broadcast: a stated, bounded set of questions, each held against all vectors."""
+    """q_id, key, cosine, place: the k nearest vectors of each query by cosine, ties by key. Each query is held against all vectors, in blocks where there are many queries."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     own = vectors.select(key, F.col(vector).alias("v_"), norm(F.col(vector)).alias("n_"))
     asked = queries.select(F.col(key).alias("q_id"), F.col(vector).alias("q_"), norm(F.col(vector)).alias("m_"))
     dot = F.aggregate(F.zip_with("v_", "q_", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     # each side's k best are found before rows of a query meet, so the last sort sees k rows for each partition of vectors and query
-    scored = own.crossJoin(F.broadcast(asked)).where(F.col(key) != F.col("q_id")).select("q_id", key, (dot / (F.col("n_") * F.col("m_"))).alias("cosine"))
+    scored = each_with(own, asked, key, "q_id").where(F.col(key) != F.col("q_id")).select("q_id", key, (dot / (F.col("n_") * F.col("m_"))).alias("cosine"))
     return top_of(scored, ["q_id"], [F.col("cosine").desc_nulls_last(), F.col(key)], k)
