@@ -18,7 +18,9 @@ counts over all documents, of fixed size), so that these prefixes hold rare shin
    shingle and are yet unlinked.
 
 Nothing is dropped: the result has the components of all links. Null and empty texts have an empty set and no links.
-A row with a null doc_id has no links and a null component. Rows that share a doc_id count as one document, the union of their links.
+A row with a null doc_id has no links and a null component. Rows that share a doc_id are documents of their own, told apart by
+their text; equal rows have equal results. Ties: of equal ids in a component all rows stay in keep_one(). A very long text is one
+row's set, in a chunk of its own. An empty table gives an empty result; extra columns of any name pass through keep_one().
 """
 
 from __future__ import annotations
@@ -31,45 +33,54 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from mortise.llm.graph import bounded_broadcast, components
 from mortise.llm.words import chunks, shingle_sets
-from mortise.session import materialise
+from mortise.session import discard, materialise
 
 SLOTS = 1 << 21
 PIECES = 16
+FANIN = 256
 BLOCK = 2_000
 CALL = 500
 FANOUT = 8
 
 
 def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents' shingles fall in each of SLOTS hash slots: 16 MB, however large the corpus."""
+    """How many documents' shingles fall in each of SLOTS hash slots: 16 MB, however large the corpus. Each task's counts are added up in steps of FANIN at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for _, texts in chunks(batches):
             np.add.at(total, (np.concatenate(shingle_sets(texts, n)) >> np.uint64(43)).astype(np.int64), 1)
-        for k, part in enumerate(np.split(total, PIECES)):
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+        part = TaskContext.get().partitionId()
+        for k, own in enumerate(np.split(total, PIECES)):
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLOTS // PIECES, dtype=np.int64)
         for x in frame["counts"]:
             total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
-        return pd.DataFrame({"piece": frame["piece"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"piece": frame["piece"][:1], "part": frame["part"][:1] // FANIN, "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    kind = "piece int, counts binary"
-    got = docs.mapInArrow(count, kind).groupBy("piece").applyInPandas(add, kind).collect()  # PIECES rows of SLOTS / PIECES counts
+    kind = "piece int, part int, counts binary"
+    got = docs.mapInArrow(count, kind)
+    for _ in range(3):  # FANIN^3 tasks come down to one
+        got = got.groupBy("piece", F.floor(F.col("part") / FANIN)).applyInPandas(add, kind)
     total = np.zeros((PIECES, SLOTS // PIECES), dtype=np.int64)
-    for r in got:
-        total[r["piece"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+    for r in got.collect():  # PIECES rows of SLOTS / PIECES counts
+        total[r["piece"]] += np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
     return total.ravel()
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
+
+
 def _sets(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; empty for the empty set), prefix, bits (the set's bitmap)."""
+    """docs (row, text) -> row (doc_id and the text's hash), n_shingles, digest (of the set; empty for the empty set), prefix, bits (the set's bitmap)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(often, 2**31 - 1).astype(np.int32))  # SLOTS counts
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,27 +92,29 @@ def _sets(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame
                 first = m - (percent * m + 99) // 100 + 1 if m else 0
                 order = np.lexsort((s, rank[(s >> np.uint64(43)).astype(np.int64)]))[:first]
                 sizes.append(m)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if m else b"")
+                digests.append(_digest(s))
                 prefixes.append(s[order].view(np.int64))
                 bits.append(bitmap(s).tobytes())
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             cuts = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
+            row = pa.array(ids, pa.struct([("doc_id", pa.int64()), ("hash", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "prefix", "bits"],
+                [row, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())],
+                names=["row", "n_shingles", "digest", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(of, "doc_id long, n_shingles long, digest binary, prefix array<long>, bits binary")
+    return docs.mapInArrow(of, "row struct<doc_id:long,hash:long>, n_shingles long, digest binary, prefix array<long>, bits binary")
 
 
 def _arrays(docs: DataFrame, n: int) -> DataFrame:
-    """class_id, tokens (the whole set, as bytes)."""
+    """docs (row, text) -> digest, tokens (the whole set, as bytes)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], names=["class_id", "tokens"])
+        for _, texts in chunks(batches):
+            sets = shingle_sets(texts, n)
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "tokens"])
 
-    return docs.mapInArrow(of, "class_id long, tokens binary")
+    return docs.mapInArrow(of, "digest binary, tokens binary")
 
 
 class _Forest:
@@ -289,11 +302,13 @@ def _promising(members: DataFrame, keys: list[str], percent: int, rows: int) ->
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """A row for each row of docs: doc_id, hash (of the text), n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links)."""
+    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash")).alias("row"), "text")
     sets = materialise(_sets(own, n, percent, _frequencies(own, n)), "sets")
-    full = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by(F.struct("prefix", "bits"), "doc_id").alias("own")), "classes")
+    full = sets.where("n_shingles > 0 and row.doc_id is not null")
+    classes = full.groupBy("digest").agg(F.min("row.doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.min_by(F.struct("prefix", "bits"), "row.doc_id").alias("own"))
+    # a number for each class, stored, as ids may name several sets
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("class_id"), "*"), "classes")
     tokens = classes.select("class_id", "size", F.posexplode("own.prefix").alias("pos", "token"))
     shared = materialise(tokens.groupBy("token").count().where("count > 1").select("token"), "shared")
     # sizes of linked sets lie in one class of the scale or in neighbouring ones; a cell holds two neighbouring classes
@@ -326,8 +341,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
     everywhere = firsts.select("token", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), "class_id")
     dealt = small.select("token", F.lit(-1).alias("block"), "class_id").union(large.select("token", "block", "class_id")).union(everywhere.select("token", "block", "class_id")).distinct()
     wanted = materialise(small.select("class_id").union(large.select("class_id")).distinct(), "wanted")
-    chosen = own.join(bounded_broadcast(wanted).withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    arrays = _arrays(chosen, n)
+    named = materialise(classes.join(bounded_broadcast(wanted), "class_id").select("class_id", "digest", "first_id"), "named")
+    chosen = own.join(bounded_broadcast(named.select("first_id").distinct()), F.col("row.doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["row"])
+    arrays = _arrays(chosen, n).join(bounded_broadcast(named.select("digest", "class_id")), "digest").select("class_id", "tokens")
     links = materialise(_links(dealt.join(arrays, "class_id"), ["token", "block"], percent, rows), "found")
     if not large.isEmpty():
         roots = materialise(components(links), "roots")
@@ -342,15 +358,20 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, block: int
             more = _links(one.union(two).distinct().join(arrays, "class_id"), ["token", "block", "part"], percent, rows)
             links = links.union(more)
     roots = components(links)
-    named = classes.select("digest", "class_id").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.select(F.col("digest").alias("d_"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    inside = materialise(roots.join(classes.select(F.col("class_id").alias("node"), "first_id"), "node"), "inside")
+    lowest = materialise(inside.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
+    named = inside.join(bounded_broadcast(lowest), "root").select(F.col("node").alias("class_id"), "component_id")
+    named = classes.select("digest", "class_id", "first_id").join(named, "class_id", "left")
+    named = named.select(F.col("digest").alias("d_"), F.col("first_id").alias("class_id"), F.coalesce("component_id", "first_id").alias("component_id"))
+    discard(shared, near, cells, members, small, wanted)
+    out = sets.select("row.*", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("row.doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = out.join(named, F.col("digest") == F.col("d_"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that have a smaller doc_id in their component; of rows with one doc_id all stay or all go."""
+    """docs without the documents that have a smaller doc_id in their component; rows of the component's smallest id stay."""
     found = similar_documents(docs, n, percent)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_m_id")).distinct(), "gone")
-    return docs.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_m_id"), "left_anti")
+    gone = materialise(found.where("doc_id <> component_id").select(F.struct("doc_id", "hash").alias("m_gone")).distinct(), "gone")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash")).alias("key"))
+    return packed.join(bounded_broadcast(gone), F.col("key") == F.col("m_gone"), "left_anti").select("row.*")

@@ -64,6 +64,18 @@ def test_ngram_edges(spark):
     assert ngram_join.keep_one(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_ngram_repeated_ids(spark, back):
+    """Rows that share an id keep their own links, in any order of rows."""
+    x, y = ("".join(f"{c}{i} " for i in range(40)) for c in "xy")
+    rows = [(4, x, "a"), (4, y, "a"), (9, y + "more", "a"), (12, x + "more", "a"), (20, "z " * 9, "a"), (20, "z " * 9, "a")]
+    got = ngram_join.similar_documents(frame(spark, rows[::-1] if back else rows), 3, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(4, 4), (4, 4), (9, 4), (12, 4), (20, 20), (20, 20)]
+    more = [*rows, (2, x, "a")]
+    left = ngram_join.keep_one(frame(spark, more[::-1] if back else more), 3, 80).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in left) == [(2, "x"), (4, "y"), (20, "z"), (20, "z")]
+
+
 def test_connect_agrees_with_pairs():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 2**63, 300, dtype=np.uint64))
