@@ -2,8 +2,8 @@
 
 A source's weight is its share of tokens raised to an exponent a, normalised; a = 1 keeps the shares, a = 0 evens them out.
 Bisection finds the smallest a in [0, 1] for which no source is repeated more than MAX_REPEATS times within the budget (or, given an
-entropy, the a that meets it). Each step is one aggregation over the table of sources, from which one number
-returns, so any number of sources will do.
+entropy, the a that meets it). Each round of it is two aggregations over the table of sources that try a grid of exponents at once, from which a few
+numbers return, so any number of sources will do.
 
 A source's quota is its weight times the budget of tokens. Its documents are dealt by hash to blocks of about
 BLOCK documents, and the blocks put in hash order; inside a block documents follow in hash order. The source gives
@@ -12,7 +12,8 @@ of the quota is used up. Sums run over blocks first and then inside each block,
 rows is never in one task.
 
 Tokens are words split at ASCII white space, at least one a document. A null source is a source of its own. Null and empty texts
-count one token. Rows that share a doc_id are ordered by their text's hash; equal rows are interchangeable.
+count one token; a very long text is a row like others. Rows that share a doc_id are ordered by their text's hash; equal rows are interchangeable. An empty
+table gives an empty result. Extra columns pass through; see mix() for those whose names clash.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from mortise.session import materialise
 
 MAX_REPEATS = 2.0
 BLOCK = 4_000
-STEPS = 40
+GRID, ROUNDS = 31, 8  # 31 midpoints are five halvings; eight rounds are 40
 SEED = 17
 
 
@@ -35,33 +36,38 @@ def _n_tokens(text: str) -> F.Column:
 
 
 def exponent(sources: DataFrame, budget: float, max_repeats: float = MAX_REPEATS, entropy: float | None = None) -> float:
-    """sources (tokens) -> the exponent; 1 where even the shares themselves repeat too much or have too little entropy."""
+    """sources (tokens) -> the exponent; 1 where even the shares themselves repeat too much or have too little entropy.
+
+    Bisection, five halvings a round: the GRID midpoints that five halvings can meet are tried in one aggregation, and the bounds drawn together around the first that holds.
+    """
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
         return 1.0
     share = F.col("tokens") / F.lit(float(total))
 
-    def holds(a: float) -> bool:
-        raised = F.pow(share, F.lit(a))
-        norm = sources.agg(F.sum(raised)).first()[0]
-        weight = raised / F.lit(norm)
+    def measured(tried: list[float]) -> list[bool]:
+        sums = sources.agg(*(F.sum(F.pow(share, F.lit(a))).alias(f"n{k}") for k, a in enumerate(tried))).first()
+        weight = [F.pow(share, F.lit(a)) / F.lit(sums[k]) for k, a in enumerate(tried)]
         if entropy is None:
-            return sources.agg(F.max(weight * budget / F.col("tokens"))).first()[0] <= max_repeats * (1 + 1e-12)
-        return sources.agg(F.sum(-weight * F.ln(weight))).first()[0] <= entropy
+            most = sources.agg(*(F.max(w * budget / F.col("tokens")).alias(f"r{k}") for k, w in enumerate(weight))).first()
+            return [r <= max_repeats * (1 + 1e-12) for r in most]
+        return [e <= entropy for e in sources.agg(*(F.sum(-w * F.ln(w)).alias(f"e{k}") for k, w in enumerate(weight))).first()]
 
     low, high = 0.0, 1.0
-    if holds(low):
+    if measured([low])[0]:
         return low
-    for _ in range(STEPS):
-        mid = (low + high) / 2
-        low, high = (low, mid) if holds(mid) else (mid, high)
+    for _ in range(ROUNDS):
+        tried = [low + (high - low) * k / (GRID + 1) for k in range(1, GRID + 1)]
+        holds = measured(tried)
+        at = holds.index(True) if True in holds else GRID
+        low, high = ([low, *tried][at], [*tried, high][at])
     return high
 
 
 def mix(docs: DataFrame, budget_share: float = 1.0, max_repeats: float = MAX_REPEATS, entropy: float | None = None, block: int = BLOCK, columns: list[str] | None = None) -> DataFrame:
     """The rows of docs that are drawn (only the given columns, or all), with n_tokens, weight, copies (times the row is drawn, 1 or more), block and turn (its rank in the source's permutation of blocks, and in the block).
 
-    budget_share is the budget as a share of docs' tokens.
+    budget_share is the budget as a share of docs' tokens. A column of docs that has one of these names keeps its values as in_<name>.
     """
     own = [F.col(f"`{c}`") for c in (columns if columns is not None else docs.columns)]
     source = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
@@ -83,7 +89,9 @@ def mix(docs: DataFrame, budget_share: float = 1.0, max_repeats: float = MAX_REP
     copies = F.col("whole") + (F.col("before") + F.col("upto") <= F.col("rest")).cast("long")
     drawn = placed.withColumn("copies", copies).where("copies > 0")
     extra = {"n_tokens": F.col("n"), "weight": F.col("weight"), "copies": F.col("copies"), "block": F.col("block").cast("long"), "turn": F.col("turn").cast("long")}
-    return drawn.select("row.*", *(v.alias(k) for k, v in extra.items()))
+    taken = {k.lower() for k in extra}
+    names = columns if columns is not None else docs.columns
+    return drawn.select(*(F.col("row")[c].alias(f"in_{c}" if c.lower() in taken else c) for c in names), *(v.alias(k) for k, v in extra.items()))
 
 
 def entropy_of(weights: list[float]) -> float:
