@@ -7,8 +7,8 @@ and max-pooled in the chunk; the text has the maxima and the means of its chunks
 its length; a logistic unit makes one probability of them.
 
 Filters and unit are fitted together by Adam on the logistic loss, with gradients through the pooled maxima. Labels come from rows whose
-crc32(doc_id) mod 5 is not 0, at most TRAIN_ROWS of them in hash order, and of each at most TRAIN_CHUNKS chunks spread evenly over it; both
-bounds are parameters. Scoring covers every chunk of every row. Null and empty texts are one chunk of
+crc32(doc_id) mod 5 is not 0, at most TRAIN_ROWS of them in hash order (a parameter). Fitting and scoring cover every chunk of every
+row they have. Null and empty texts are one chunk of
 blanks. Repeated and null ids are scored row by row.
 """
 
@@ -24,7 +24,7 @@ from mortise.llm.toxicity import fold, training_rows
 from mortise.llm.words import chunks
 
 CHUNK, WIDTH, STRIDE, FILTERS = 512, 6, 1, 16
-TRAIN_ROWS, TRAIN_CHUNKS = 3_000, 8
+TRAIN_ROWS = 3_000
 PASSES, RATE = 8, 0.01
 
 
@@ -91,15 +91,17 @@ def train(texts: list[bytes], labels: np.ndarray, passes: int = PASSES) -> Net:
     net.shift[:] = np.log(rate / (1 - rate))
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(net).items()}
     cut = [pieces(t) for t in texts]
-    cut = [x if len(x) <= TRAIN_CHUNKS else x[np.linspace(0, len(x) - 1, TRAIN_CHUNKS).astype(int)] for x in cut]
     t = 0
     for step in range(passes):
         for batch in np.array_split(r.permutation(len(texts)), max(1, len(texts) // 32)):
             x = np.concatenate([cut[k] for k in batch])
             at = np.concatenate(([0], np.cumsum([len(cut[k]) for k in batch])))
-            out = outputs(x, net.tables, net.bias)
-            where = out.argmax(1)  # chunks x filters
-            p = np.maximum(np.take_along_axis(out, where[:, None, :], 1)[:, 0], 0)
+            where, p = [], []
+            for k in range(0, len(x), 64):  # a long text's chunks in parts, for bounded memory
+                out = outputs(x[k : k + 64], net.tables, net.bias)
+                where.append(out.argmax(1))  # chunks x filters
+                p.append(np.maximum(np.take_along_axis(out, where[-1][:, None, :], 1)[:, 0], 0))
+            where, p = np.concatenate(where), np.concatenate(p)
             feats = np.stack([describe(p[a:b], len(texts[k])) for a, b, k in zip(at[:-1], at[1:], batch, strict=True)])
             prob = 1 / (1 + np.exp(-np.clip(feats @ net.unit + net.shift[0], -30, 30)))
             dz = (prob - labels[batch]) / len(batch)
