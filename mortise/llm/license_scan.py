@@ -6,27 +6,31 @@ any 4 adjacent shingles lie whole in one window.
 
 1. Bands: each window has BANDS MinHash values of one row each (the minimum of its hashes XORed with fixed seeds). A
    window that holds a template stretch of k shingles shares a band with probability
-   1 - (1 - k / (2 WINDOW - k))^BANDS or more; for k = 4, 0.99996.
+   1 - (1 - k / (2 WINDOW - k))^BANDS or more: for k = 4, the worst case of a short template between two windows, 0.9985;
+   a longer template lies in several windows, each with a chance of its own.
    A one-row band can only agree where the window holds one of the templates' own shingles, so windows
    without any are left out before their values are computed; that loses no collision.
 2. Retrieval: an equi-join of (band, value) with the bands of the templates' windows, at every offset.
 3. Verification: exact containment, the share of the template's shingles found in the stretch of text
    around the window that is as long as the template on either side; CONTAINMENT percent or more match.
 
-Templates are a parameter, at most MAX_SHINGLES shingles in all (checked), hence the literal set and the broadcast.
-A null or empty text has no matches. Rows that share a doc_id count as one document.
+Templates are a parameter and may be whole licence texts; a library of more than LITERALS shingles is joined by shuffle. A template of two
+words matches by its one shingle.
+A null or empty text has no matches; a very long one is read whole. Rows that share a doc_id count as one document, and each gets its
+matches; a null doc_id gets none. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mortise.llm.graph import bounded_broadcast
 from mortise.session import materialise
 
 WINDOW, STRIDE = 8, 4
 BANDS = 16
 CONTAINMENT = 80
-MAX_SHINGLES = 20_000
+LITERALS = 20_000
 
 # Notices as their licences prescribe or as they are commonly abbreviated.
 TEMPLATES = {
@@ -64,24 +68,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     book = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _shingles(F.col("text")).alias("t"))
     book = materialise(book.select("license", F.array_distinct("t").alias("t"), F.col("t").alias("order")).where("size(t) > 0"), "templates")
-    known = sorted({h for (t,) in book.select("t").collect() for h in t})
-    if len(known) > MAX_SHINGLES:
-        raise ValueError(f"templates hold {len(known)} shingles; split them into sets of {MAX_SHINGLES} at most")
+    # a library of LITERALS shingles or fewer is a literal set; of a larger one, every window's bands are joined
+    known = sorted(r[0] for r in book.select(F.explode("t").alias("h")).distinct().limit(LITERALS + 1).collect())
     offsets = F.sequence(F.lit(0), F.greatest(F.size("order") - WINDOW, F.lit(0)))
     bands = book.select("license", "t", F.explode(F.transform(offsets, lambda i: F.slice("order", i + 1, WINDOW))).alias("w"))
-    bands = bands.select("license", "t", F.explode(_bands(F.col("w"))).alias("band")).distinct()
+    bands = materialise(bands.select("license", "t", F.explode(_bands(F.col("w"))).alias("band")).distinct(), "bands")
 
-    reach = max((r[0] for r in book.select(F.size("order")).collect()), default=0)
+    reach = book.agg(F.max(F.size("order"))).first()[0] or 0
     own = docs.select("doc_id", F.explode(F.array(_shingles(F.col("text")))).alias("h"))
     # the numbers of windows that hold a shingle of some template: window k starts at shingle k * STRIDE
-    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull()) if known else F.array().cast("array<int>")
+    few = len(known) <= LITERALS
+    hits = F.filter(F.transform("h", lambda x, i: F.when(x.isin(known), i) if few else i), lambda i: i.isNotNull()) if known else F.array().cast("array<int>")
     each = F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - WINDOW + 1) / STRIDE)).cast("int"), F.floor(i / STRIDE).cast("int"))))
     rows = own.select("doc_id", "h", F.explode(F.array_distinct(each)).alias("k"))
     start = F.col("k") * STRIDE
     around = F.slice("h", F.greatest(F.lit(1), start + 1 - reach), F.lit(WINDOW + 2 * reach))
     rows = rows.select("doc_id", "k", F.slice("h", start + 1, WINDOW).alias("w"), around.alias("around"))
     rows = rows.select("doc_id", "k", "around", F.explode(F.array_distinct(_bands(F.col("w")))).alias("band"))
-    found = rows.join(F.broadcast(bands), "band")
+    found = rows.join(bounded_broadcast(bands, LITERALS * BANDS), "band")
     share = F.floor(100 * F.size(F.array_intersect("t", "around")) / F.size("t"))
     found = found.select("doc_id", "license", "k", share.alias("share")).where(F.col("share") >= CONTAINMENT)
     return found.groupBy("doc_id", "license").agg(F.max("share").cast("long").alias("containment"), (F.min("k") * STRIDE).cast("long").alias("near"))

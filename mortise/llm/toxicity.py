@@ -3,17 +3,20 @@
 1. Tokens of a text: its distinct words (lower-cased letters), their beginnings of 4 to 7 letters ("ab-"), both once more
    with a mark for each density they reach ("ab-^": half a percent of the words, "ab-^^": one percent), and pattern marks.
 2. Voters are mined from labelled rows: single tokens (a lexicon voter each) that are far more frequent in toxic than in other
-   texts, and the fixed patterns. A voter says "toxic" where its token occurs, and abstains elsewhere. The row's own
-   label is one more voter, with a fixed accuracy, LABEL_ACCURACY.
+   texts, and the fixed patterns. A voter says "toxic" where its token occurs, and abstains elsewhere. One more voter
+   says "clean" where all others abstain.
 3. The label model is generative: a class prior, and for each voter the rates at which it fires in either class, fitted by
-   expectation-maximisation on the votes. Voters are correlated (a word fires with its beginnings); given the class, the
-   model estimates correlations from the votes and divides a voter's evidence by the
-   sum of its positive correlations, so that a clique of copies counts once. Silence is no evidence.
+   expectation-maximisation on the votes alone; no row's own label is a vote. Voters are correlated (a word fires with its
+   beginnings); given the class, the model estimates correlations from the votes and divides a voter's evidence by the
+   sum of its positive correlations, so that a clique of copies counts once. Voters whose estimated accuracy is under
+   LEAST_ACCURACY are left out, and the model is fitted again.
 4. A linear classifier over the tokens is fitted to the posterior labels, by weighted logistic regression, and scores every text whole.
 
 Labels come from rows whose crc32(doc_id) mod 5 is not 0, at most TRAIN_ROWS of them (in hash order, so a
 documented, bounded sample); voter mining, label model and fitting hold no more. Scoring covers every row. Null and
-empty texts get the score of a text without tokens. Duplicate and null ids are scored row by row; null ids are never trained on.
+empty texts get the score of a text without tokens; very long ones are read whole. Duplicate and null ids are scored row by row; null ids
+are never trained on. Of several labels or texts of one id, training takes the largest. Empty tables give empty results, or a
+constant score without labels. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from mortise.llm.words import chunks
 TRAIN_ROWS = 6_000
 VOTERS = 300
 FEATURES = 4_000
-LABEL_ACCURACY = 0.95
+LEAST_ACCURACY = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 # Surface patterns that accompany abuse in any language.
 PATTERNS = {
@@ -64,26 +67,30 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """votes (rows x voters, 0 or 1), labels -> the posterior of each row, and each voter's accuracy (share of its votes that are right)."""
+def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """votes (rows x voters, 0 or 1; the last voter says "clean", the others "toxic"), share of toxic rows -> the posterior of each row, and each voter's accuracy (share of its votes that are right).
+
+    No row's label takes part: the first guess is that the rows with most votes are toxic, as many of them as the prior says.
+    """
     m = votes.shape[1]
-    own = np.where(labels == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    p = 1 / (1 + np.exp(-own))
+    load = votes[:, :-1].sum(1)
+    p = np.where(load > max(1.0, float(np.quantile(load, 1 - prior))), 0.9, 0.5 * prior)
     discount = np.ones(m)
     for k in range(rounds):
         one, two = p.sum(), (1 - p).sum()
-        fire1 = np.clip((votes.T @ p + 0.05) / (one + 1), 1e-4, 1 - 1e-4)
+        fire1 = np.clip((votes.T @ p + 0.5 * prior) / (one + 1), 1e-4, 1 - 1e-4)
         fire0 = np.clip((votes.T @ (1 - p) + 0.5) / (two + 1), 1e-5, 1 - 1e-4)
         if k % 10 == 0:  # correlations of the voters within the classes
             rest = votes - np.outer(p, fire1) - np.outer(1 - p, fire0)
             c = rest.T @ rest
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
             c = c / d[:, None] / d[None, :]
-            discount = 1 / np.where(c > 0.2, c, 0).sum(1).clip(1)
-        prior = np.clip(p.mean(), 0.01, 0.9)
-        score = np.log(prior / (1 - prior)) + own + votes @ (np.log(fire1 / fire0) * discount)
+            discount = 1 / np.where(c > 0.35, c, 0).sum(1).clip(1)
+        score = np.log(prior / (1 - prior)) + votes @ (np.log(fire1 / fire0) * discount)
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return p, (votes.T @ p) / np.maximum(votes.sum(0), 1)
+    right = votes.T @ p
+    right[-1] = (votes.T @ (1 - p))[-1]
+    return p, right / np.maximum(votes.sum(0), 1)
 
 
 def train(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], float]:
@@ -108,7 +115,11 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], float
     x = np.zeros((len(texts), len(names)), dtype=np.float32)
     for r, text in enumerate(texts):
         x[r, [at[t] for t in tokens(text) if t in at]] = 1
-    posterior, _ = label_model(x[:, : len(voters)].astype(np.float64), labels)
+    votes = x[:, : len(voters)].astype(np.float64)
+    prior = float(np.clip(labels.mean(), 0.01, 0.5))
+    _, accuracy = label_model(np.column_stack((votes, votes.sum(1) == 0)), prior)
+    votes = votes[:, accuracy[:-1] >= LEAST_ACCURACY]  # voters that the model finds no better than a guess are left out
+    posterior, _ = label_model(np.column_stack((votes, votes.sum(1) == 0)), prior)
     # logistic regression on the posterior labels, by accelerated gradient steps with a ridge
     w, b, vw, vb = np.zeros(len(names)), float(np.log(posterior.mean() / (1 - posterior.mean()))), 0.0, 0.0
     step = 4.0 / max(1.0, float(np.percentile(x.sum(1), 95)))
@@ -165,9 +176,9 @@ def score(text: str, weights: dict[str, float], bias: float) -> float:
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> tuple[list[str], np.ndarray]:
     """At most rows texts with their labels, none of them held out."""
-    known = labels.where(F.col(column).isNotNull() & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").alias("l_id"), F.col(column).alias("y")).dropDuplicates(["l_id"])
+    known = labels.where(F.col(column).isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(column).alias("y"))
     some = known.orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    got = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "y").agg(F.max("text").alias("text"))
     found = sorted(got.toLocalIterator(), key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in found], np.array([r["y"] for r in found], dtype=np.int64)
 
