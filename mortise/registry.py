@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mortise.plans import calibration, ensembles, records, relations, retrieval, statistics, structures
+from mortise.plans import calibration, ensembles, records, relations, retrieval, shaping, statistics, structures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES | calibration.QUERIES | records.QUERIES | structures.QUERIES | retrieval.QUERIES
+    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES | calibration.QUERIES | records.QUERIES | structures.QUERIES | retrieval.QUERIES | shaping.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES | calibration.ORACLES | records.ORACLES | structures.ORACLES | retrieval.ORACLES
+    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES | calibration.ORACLES | records.ORACLES | structures.ORACLES | retrieval.ORACLES | shaping.ORACLES
