@@ -44,7 +44,7 @@ m AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
       FROM t LEFT JOIN r ON r.doc_id = t.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars >= 1.5 * n_words AND word_chars <= 40 * n_words AND n_symbols <= 0.4 * greatest(word_chars, 1)
+  NOT base_failed AND word_chars >= 1.5 * n_words AND word_chars <= 40 * n_words AND n_symbols <= 0.08 * greatest(word_chars, 1)
     AND n_dup_lines <= 0.7 * greatest(n_lines, 1) AND stops >= 1 AS kept FROM b
 """
 

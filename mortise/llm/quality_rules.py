@@ -1,7 +1,9 @@
 """Operator 8: quality rules, one table of thresholds compiled into one projection.
 
 Words are runs of characters other than ASCII white space. Every measure is a built-in expression over
-one row, so the query has no shuffle and no user function. A null text has no words and is rejected, as is an empty one.
+one row, so the query has no shuffle and no user function. A null text has no words and is rejected, as is an empty one; a very
+long one is measured whole. Each row is judged by itself, whatever its doc_id, repeated rows too. An empty table gives an
+empty result; extra columns of any name pass through keep_good().
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ THRESHOLDS = [
     ("too_few_words", "n_words", 50, None),
     ("repeated_windows", "repeat_percent", None, 50),
     ("mean_word_length", "mean_word", 1.5, 40),
-    ("symbols", "symbol_ratio", None, 0.4),
+    ("symbols", "symbol_ratio", None, 0.08),
     ("repeated_lines", "dup_line_ratio", None, 0.7),
     ("no_stop_words", "stop_words", 1, None),
 ]

@@ -57,9 +57,6 @@ def test_run(spark, tmp_path):
     assert len(want) < len(rows) - 10
     tokens = {}
     assert {(r.doc_id, r.text) for r in got} <= set(want)
-    by_text = {}
-    for i, t in want:
-        by_text.setdefault(t, 0)
     drawn = {}
     for r in got:
         assert r.n_tokens == len(r.text.split()) and r.copies >= 1 and r.n_chars == len(r.text)
