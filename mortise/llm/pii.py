@@ -3,21 +3,26 @@
 Base spans are what four patterns with checks find (email, ip, card, phone): leftmost and non-overlapping for each kind.
 They always stay. Further spans come from candidate gradient boosting:
 
-1. Generators with high recall propose spans that the base patterns cannot see or refuse: addresses with "(at)" and
-   "dot", dotted quads and digit groups with other separators, telephone numbers without a plus. Proposals may overlap.
-2. Each proposal has format features (length class, separators, check digit, octet range, plus, brackets) and context features (a
-   cue word before it, what touches its ends).
-3. Boosted trees of depth 2 are fitted to the logistic loss. Labels are weak: a proposal that coincides with a base
-   span is personal; one at a place that a base check refused, or torn from a longer token, is not. Features are discrete, so the corpus
-   comes down to counts for each feature vector, over all documents; there are at most 4 * 2^len(FEATURES) vectors, and only those that occur.
+1. Generators with high recall propose spans, overlapping ones too: those that the base patterns find, and the forms that they
+   cannot see or refuse: addresses with "(at)", "[dot]" or " at ... dot ", quads with disguised dots, cards of 13 to 15 digits or with
+   other separators, telephone numbers without a plus.
+2. Each proposal has format features (the kind's check on its plain form, digit groups, a date's shape) and context features (a cue word
+   of its kind before it, what touches its ends). What tells the base form from a disguised one (the plus, the plain @ and dot,
+   the number of a card's digits) is hidden, so that trees learnt on base forms say something about the others.
+3. Boosted trees of depth 2 are fitted to the logistic loss. Labels are weak: 1 for a base span; 0 for a proposal whose
+   plain form fails its kind's check, that is torn from a longer token, overlaps a base span, or has neither a cue word before it nor a disguise;
+   the rest has no label and is what the trees judge. Features are discrete, so the corpus comes
+   down to counts for each feature vector, over all documents; there are at most 4 * 2^len(FEATURES) vectors, and only those that occur.
 4. For each kind, a threshold is calibrated on the documents that fitting left out (a fifth, by hash): the lowest
-   score from which proposals are personal in PRECISION of cases; without 20 of them no span is added for that kind.
+   score from which labelled proposals are personal in PRECISION of cases; without 20 of them no span is added for that kind.
 5. The trees are compiled into one SQL expression. Chosen spans that overlap a base span or an
    earlier chosen one of their kind are dropped.
 
 Offsets are code points, end exclusive. A pattern's matches and the gaps between them (a split on the same
 pattern) give the offsets. Patterns are possessive and start at the edge of a run, which finds the same matches in
-linear time. Null and empty texts have no spans; repeated rows are judged each.
+linear time. Null and empty texts have no spans. Every row is judged by itself, so repeated rows and ids, and null ids (which fit,
+but calibrate nothing), give a row each. Only doc_id and text are read: extra columns of any name do no harm. An empty table gives an empty result.
+Of spans that overlap, base ones win, then earlier kinds in the order of KINDS, then the earlier start.
 """
 
 from __future__ import annotations
@@ -36,14 +41,22 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[.][0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20.-]?+[0-9])++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?: ?(?:@|[(\[{]at[)\]}]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|[(\[{]\.[)\]}]| ?[(\[{]dot[)\]}] ?| dot )[0-9]{1,3}+){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}+[0-9])++",
     "phone": r"(?<![0-9A-Za-z])\+?+\(?[0-9][\x20().0-9-]{5,22}[0-9]",
 }
-NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-CUES = r"(?i)(mail|tel|phone|fon|call|fax|card|karte|carte|tarjeta|visa|ip|host|server|address|contact)\W{0,4}$"
-FEATURES = ("cue", "touches_left", "touches_right", "check", "in_range", "plus", "bracket", "dots", "spaces", "long")
+NEEDS = {"email": r"@|[(\[{]at[)\]}]| dot ", "ip": r"[0-9](?:\.|[(\[{]\.|[(\[{ ]{1,2}dot)", "card": "[0-9]", "phone": "[0-9]"}
+_CUE_END = r"\p{L}{0,5}(?:[\s:.#-]+(?:number|address|no|nr|is|me|us|at|on)){0,3}[\s:.#=(-]{0,4}$"
+# Words that announce a span of a kind.
+CUES = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel)" + _CUE_END,
+    "ip": r"(?i)\b(?:ip|host|server|address|gateway|node|login)" + _CUE_END,
+    "card": r"(?i)\b(?:card|karte|carte|tarjeta|visa|mastercard|amex|credit)" + _CUE_END,
+    "phone": r"(?i)\b(?:tel|phone|fon|call|fax|mobile|cell|sms|whatsapp)" + _CUE_END,
+}
+DISGUISE = {"email": r"[(\[{](?:at|dot)[)\]}]", "ip": r"[(\[{]| dot "}
+FEATURES = ("cue", "touches_left", "touches_right", "check", "groups", "date")
 PRECISION, LEAST = 0.98, 20
 ROUNDS, RATE = 40, 0.3
 
@@ -60,7 +73,7 @@ def _matches(text: Column, pattern: str, needs: str, kind: str) -> Column:
 
     def spans(g: Column) -> Column:
         def of(m: Column) -> Column:
-            step = F.transform(m, lambda x, i: F.struct(F.char_length(F.get(g, i)).alias("gap"), F.char_length(x).alias("n"), x.alias("s"), F.right(F.get(g, i), F.lit(24)).alias("left"), F.left(F.get(g, i + 1), F.lit(2)).alias("right")))
+            step = F.transform(m, lambda x, i: F.struct(F.char_length(F.get(g, i)).alias("gap"), F.char_length(x).alias("n"), x.alias("s"), F.right(F.get(g, i), F.lit(32)).alias("left"), F.left(F.get(g, i + 1), F.lit(2)).alias("right")))
             start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
 
             def add(acc: Column, x: Column) -> Column:
@@ -103,41 +116,56 @@ def _base(text: Column) -> list[Column]:
     return [F.filter(_matches(text, BASE[k], NEEDS[k], k), check(k)) for k in KINDS]
 
 
-def _features(x: Column) -> Column:
-    """The feature vector of a proposal, as a string of 0 and 1."""
-    n = F.char_length(_digits(x["s"]))
-    flags = {
-        "cue": x["left"].rlike(CUES), "touches_left": x["left"].rlike(r"[\p{L}0-9_=#\"'.-]$"), "touches_right": x["right"].rlike(r"^([\p{L}0-9_\"']|[.-][0-9])"),
-        "check": F.when(n.between(13, 19), _luhn(x["s"])).otherwise(False), "in_range": x["s"].rlike(r"^[0-9.]+$") & _octets(x["s"]), "plus": x["s"].startswith("+"),
-        "bracket": x["s"].rlike(r"[()\[\]]"), "dots": x["s"].contains("."), "spaces": x["s"].contains(" "), "long": n > 12,
+def _plain(kind: str, s: Column) -> Column:
+    """A proposal without its disguise: "a (at) b dot c" as "a@b.c"."""
+    dotted = F.regexp_replace(s, r" ?[(\[{](?:dot|\.)[)\]}] ?| dot ", ".")
+    return {"email": lambda: F.regexp_replace(F.regexp_replace(dotted, r" ?[(\[{]at[)\]}] ?| at ", "@"), " ", ""), "ip": lambda: dotted}.get(kind, lambda: s)()
+
+
+def _check(kind: str, s: Column) -> Column:
+    """Whether a proposal's plain form can be personal data of its kind."""
+    n = F.char_length(_digits(s))
+    return {
+        "email": lambda: _plain(kind, s).rlike(r"[A-Za-z0-9][^@]*+@[^@]++(?<=\.[A-Za-z]{2,24})$"), "ip": lambda: _octets(_plain(kind, s)), "phone": lambda: n.between(8, 15),
+        "card": lambda: F.when(n.between(13, 19), _luhn(s)).otherwise(False),
+    }[kind]()
+
+
+def _flags(kind: str, x: Column) -> dict[str, Column]:
+    return {
+        "cue": x["left"].rlike(CUES[kind]), "touches_left": x["left"].rlike(r"[\p{L}0-9_=#\"'.-]$"), "touches_right": x["right"].rlike(r"^([\p{L}0-9_\"']|[.-][0-9])"),
+        "check": _check(kind, x["s"]), "groups": x["s"].rlike(r"[0-9][\x20().-]+[0-9]"), "date": x["s"].rlike(r"^[12][0-9]{3}([.-][01]?[0-9][.-][0-3]?[0-9]| ?- ?[12][0-9]{3})$"),
     }
-    return F.array_join(F.array(*(F.when(flags[f], "1").otherwise("0") for f in FEATURES)), "")
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """docs and: base (array of the base spans), loose (array of proposals; each with its vector and weak label: 1 a base span, 0 refused, null unknown)."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).where(F.lit(True))
+    """doc_id, base (array of the base spans), loose (array of proposals; each with its vector and weak label: 1, 0, or null where the trees decide)."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
     found = rows.select(
         "doc_id", F.explode(F.array(F.struct(
-            F.flatten(F.array(*_base(F.col("text")))).alias("base"),
-            F.flatten(F.array(*(_matches(F.col("text"), LOOSE[k], NEEDS[k], k) for k in KINDS))).alias("loose"),
-            F.flatten(F.array(*(_matches(F.col("text"), BASE[k], NEEDS[k], k) for k in KINDS[1:]))).alias("seen"),
+            F.flatten(F.array(*_base(text))).alias("base"), *(_matches(text, LOOSE[k], NEEDS[k], k).alias(k) for k in KINDS),
         ))).alias("x"))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["kind"] == b["kind"])
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-    def marked(c: Column, base: Column, seen: Column) -> Column:
-        torn = c["left"].rlike(r"[\p{L}0-9_]$") | c["right"].rlike(r"^[\p{L}0-9_]")  # a piece of a longer token
-        refused = F.exists(seen, lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])) | F.exists(base, lambda b: meets(b, c)) | torn
-        label = F.when(F.exists(base, lambda b: same(b, c)), 1).when(refused, 0)
-        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _features(c).alias("vector"), label.alias("label"))
+    def marked(kind: str):  # noqa: ANN202
+        def of(c: Column) -> Column:
+            flags, base = _flags(kind, c), F.col("x.base")
+            torn = c["left"].rlike(r"[\p{L}0-9_]$") | c["right"].rlike(r"^[\p{L}0-9_]")  # a piece of a longer token
+            hinted = flags["cue"] | c["s"].rlike(DISGUISE[kind]) if kind in DISGUISE else flags["cue"]
+            refused = torn | ~flags["check"] | ~hinted | F.exists(base, lambda b: meets(b, c))
+            label = F.when(F.exists(base, lambda b: same(b, c)), 1).when(refused, 0)
+            vector = F.array_join(F.array(*(F.when(flags[f], "1").otherwise("0") for f in FEATURES)), "")
+            return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), vector.alias("vector"), label.alias("label"))
+
+        return of
 
     thin = F.transform("x.base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    return found.select("doc_id", thin.alias("base"), F.transform("x.loose", lambda c: marked(c, F.col("x.base"), F.col("x.seen"))).alias("loose"))
+    return found.select("doc_id", thin.alias("base"), F.flatten(F.array(*(F.transform(f"x.{k}", marked(k)) for k in KINDS))).alias("loose"))
 
 
-def _boost(kind: np.ndarray, x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> list[tuple[int, int, list[float]]]:
+def _boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> list[tuple[int, int, list[float]]]:
     """Depth-2 trees (feature, feature, four leaf values) on the counts of each vector, by Newton steps."""
     f, trees = np.zeros(len(x)), []
     for _ in range(ROUNDS):
@@ -158,7 +186,7 @@ def _boost(kind: np.ndarray, x: np.ndarray, pos: np.ndarray, neg: np.ndarray) ->
 
 def fit(found: DataFrame) -> dict[str, tuple[list, float]]:
     """For each kind: its trees, and the score from which a proposal is redacted (infinite: never)."""
-    each = found.select((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("out"), F.explode("loose").alias("c")).where("c.label is not null")
+    each = found.select(F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias("out"), F.explode("loose").alias("c")).where("c.label is not null")
     counts = each.groupBy("out", "c.kind", "c.vector", "c.label").count().collect()  # bounded: see the module's step 3
     model = {}
     for k in KINDS:
@@ -171,7 +199,7 @@ def fit(found: DataFrame) -> dict[str, tuple[list, float]]:
             continue
         x = np.array([[int(c) for c in v] for v in sorted(table)])
         n = np.array([table[v] for v in sorted(table)])
-        trees = _boost(None, x, n[:, 1], n[:, 0])
+        trees = _boost(x, n[:, 1], n[:, 0])
         score = sum(np.array(t[2])[x[:, t[0]] * 2 + x[:, t[1]]] for t in trees)
         at = float("inf")
         for s in np.unique(score)[::-1]:  # from the surest down, while what is above stays precise

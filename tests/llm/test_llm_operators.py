@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mortise.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality_net, quality_rules, toxicity, url_filter
 
@@ -225,3 +226,46 @@ def test_pipeline(spark, corpus):
         assert out.columns == docs.columns, name
         docs = out
     assert docs.count() >= 60
+
+
+def test_pii_added_spans(spark):
+    """Forms that the base patterns cannot see are added once the trees have seen enough base forms; plain numbers and prose are not."""
+    luhn = lambda d: next(d + str(c) for c in range(10) if sum(sum(divmod(int(x) * (1 + (i % 2)), 10)) for i, x in enumerate(reversed(d + str(c)))) % 10 == 0)
+    rows = [(i, f"mail user{i}@site{i % 7}.com now\nserver 10.0.{i % 200}.7 up, level 999.1.1.{i}\ncard {luhn(f'4111{i:011d}')} or code {i:04d} 5555\ncall +1 (555) 010-{i:04d} or item {i:03d} 1234 56789", "a") for i in range(300)]
+    amex = luhn("37828224631000")
+    asked = {
+        1000: ("write to jane (at) example (dot) org today", "email", "jane (at) example (dot) org"), 1001: ("Phone number is 030 1234 5678, thanks", "phone", "030 1234 5678"),
+        1002: (f"my card {amex} please", "card", amex), 1003: ("the host 10[.]1[.]2[.]33 was down", "ip", "10[.]1[.]2[.]33"),
+        1004: ("meet at noon dot matrix", None, ""), 1005: ("in 2020 1234 5678 pieces and 1.2.3 and 300[.]1[.]1[.]1", None, ""), 1006: ("é\U0001f600 mail bob at site dot net", "email", "bob at site dot net"),
+    }
+    docs = frame(spark, rows + [(i, t, "a") for i, (t, _, _) in asked.items()] + [(None, asked[1000][0], "a")]).withColumn("base", F.lit(1)).withColumn("loose", F.lit(1))
+    found = pii.find(docs).collect()
+    assert len(found) == len(rows) + len(asked) + 1
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in found}
+    for i, (t, kind, span) in asked.items():
+        assert got[i] == ([(kind, t.index(span), t.index(span) + len(span))] if kind else []), t
+    assert got[None] == got[1000]
+    assert all(len(got[i]) == 4 and [x[0] for x in got[i]] == list(pii.KINDS) for i, _, _ in rows)
+
+
+def brute_base(text):
+    """The contract's base spans, with plain patterns."""
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+    luhn = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    ]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0]))
+
+
+def test_pii_base_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    pieces = ["a", "é", "\U0001f600", "@", ".", "-", " ", "+", "(", ")", "_", "1", "25", "300", "4111 1111 1111 1111", "x@y.zz", "10.0.0.1", "+49 30 1234567", "0", "\n"]
+    texts = ["".join(r.choice(pieces, r.integers(1, 40))) for _ in range(1500)]
+    got = {row.doc_id: row for row in pii.digest(pii.find(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]))).collect()}
+    wrong = [t for i, t in enumerate(texts) if got[i].base_sha256 != hashlib.sha256(brute_base(t).encode()).hexdigest()]
+    assert not wrong, wrong[:3]
+    assert all(set(filter(None, brute_base(t).split(","))) <= set(got[i].spans.split(",")) for i, t in enumerate(texts))
