@@ -62,4 +62,51 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_ngram_join": OP2, "op4_url_filter": OP4, "op8_quality_rules": OP8, "op9_decontaminate": OP9}
+
+def _op11(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Rounds of assignment and means, one common table expression each."""
+
+    def nearest(r: int) -> str:
+        return (
+            f"a{r} AS MATERIALIZED (SELECT r, x, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, v.x, m.c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) AS d FROM v, m{r} m) GROUP BY r, x)"
+        )
+
+    steps = []
+    for r in range(rounds):
+        steps += [
+            nearest(r),
+            f"s{r} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY 1, 2)",
+            f"m{r + 1} AS MATERIALIZED (SELECT m.c, coalesce(y.x, m.x) AS x FROM m{r} m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c) y ON y.c = m.c)",
+        ]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}, {nearest(rounds)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN m{rounds} m ON m.c = a.c
+"""
+
+
+OP11 = _op11()
+
+OP12 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, text, crc.f = 2 AS held_out,
+        ' ' || trim(regexp_replace(list_aggregate(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN length(lower(c)) = 1 THEN lower(c) ELSE c END), 'string_agg', ''), '[^\p{L}]+', ' ', 'g')) || ' ' AS s
+      FROM documents JOIN crc USING (doc_id)),
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM benchmark WHERE text IS NOT NULL),
+z AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) GROUP BY 1, 2, 3),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+g AS (SELECT doc_id, t, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // l))) AS c FROM p JOIN f USING (t), z),
+s AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM b JOIN g USING (t) GROUP BY 1, 2 HAVING sum(c) > 0),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 50
+"""
+
+ORACLES = {"op2_ngram_join": OP2, "op4_url_filter": OP4, "op8_quality_rules": OP8, "op9_decontaminate": OP9, "op11_centroid_clusters": OP11, "op13_lexical_search": OP13}

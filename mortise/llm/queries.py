@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mortise.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality_net, quality_rules, toxicity, url_filter
+from mortise.llm import clustering, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, pii, quality_net, quality_rules, search, toxicity, url_filter
 from mortise.session import table
 
 # The rules of the URL query's contract.
@@ -54,4 +54,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"]).withColumn("weight", F.round("weight", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_license_scan, op4_url_filter, op5_pii, op6_toxicity, op7_quality_net, op8_quality_rules, op9_decontaminate, op10_mixing)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_license_scan, op4_url_filter, op5_pii, op6_toxicity, op7_quality_net, op8_quality_rules, op9_decontaminate, op10_mixing, op11_centroid_clusters, op12_language_id, op13_lexical_search)}
