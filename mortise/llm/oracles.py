@@ -92,9 +92,19 @@ FROM a{rounds} a JOIN v ON v.r = a.r JOIN m{rounds} m ON m.c = a.c
 OP11 = _op11()
 
 OP12 = r"""
-WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, text, crc.f = 2 AS held_out,
-        ' ' || trim(regexp_replace(list_aggregate(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN length(lower(c)) = 1 THEN lower(c) ELSE c END), 'string_agg', ''), '[^\p{L}]+', ' ', 'g')) || ' ' AS s
-      FROM documents JOIN crc USING (doc_id)),
+WITH c AS (SELECT row_number() OVER () AS r, doc_id, lang, text,
+    xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+      lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS fold FROM documents),
+t AS (SELECT r, doc_id, lang, fold, string_split(' ' || trim(regexp_replace(
+    array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN length(lower(c)) = 1 THEN lower(c) ELSE c END), ''), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS s FROM c),
+i AS (SELECT r, s, unnest(range(1, len(s) + 1)) AS i FROM t WHERE len(s) > 2),
+x AS (SELECT r, unnest(CASE WHEN i + 1 < len(s) THEN [s[i], s[i] || s[i + 1], s[i] || s[i + 1] || s[i + 2]] WHEN i < len(s) THEN [s[i], s[i] || s[i + 1]] ELSE [s[i]] END) AS g FROM i),
+n AS (SELECT r, g, count(*) AS n FROM x WHERE g <> ' ' GROUP BY 1, 2),
+own AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) - 1 AS k FROM n QUALIFY k < 300),
+lp AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS p FROM n JOIN t USING (r) WHERE fold <> 2 AND lang IS NOT NULL GROUP BY 1, 2 QUALIFY p < 300),
+d AS (SELECT r, l.lang, sum(coalesce(abs(p - k), 300)) AS d, count(*) AS m FROM own CROSS JOIN (SELECT DISTINCT lang FROM lp) l LEFT JOIN lp ON lp.lang = l.lang AND lp.g = own.g GROUP BY 1, 2),
+b AS (SELECT r, lang, 1 - CAST(d AS DOUBLE) / CAST(300 * m AS DOUBLE) AS score FROM d QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, lang) = 1)
+SELECT t.doc_id, coalesce(fold = 2, false) AS held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM t LEFT JOIN b ON b.r = t.r
 """
 
 OP13 = r"""
@@ -109,4 +119,4 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 50
 """
 
-ORACLES = {"op2_ngram_join": OP2, "op4_url_filter": OP4, "op8_quality_rules": OP8, "op9_decontaminate": OP9, "op11_centroid_clusters": OP11, "op13_lexical_search": OP13}
+ORACLES = {"op2_ngram_join": OP2, "op4_url_filter": OP4, "op8_quality_rules": OP8, "op9_decontaminate": OP9, "op11_centroid_clusters": OP11, "op12_language_id": OP12, "op13_lexical_search": OP13}
