@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mortise.plans import calibration, ensembles, records, relations, retrieval, shaping, statistics, structures
+from mortise.plans import calibration, ensembles, keywords, records, relations, retrieval, shaping, sources, statistics, structures
+
+_MODULES = (statistics, ensembles, relations, calibration, records, structures, retrieval, shaping, sources, keywords)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return statistics.QUERIES | ensembles.QUERIES | relations.QUERIES | calibration.QUERIES | records.QUERIES | structures.QUERIES | retrieval.QUERIES | shaping.QUERIES
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return statistics.ORACLES | ensembles.ORACLES | relations.ORACLES | calibration.ORACLES | records.ORACLES | structures.ORACLES | retrieval.ORACLES | shaping.ORACLES
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
