@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mortise.llm.graph import BROADCAST_ROWS
 from mortise.llm.words import chunks
 from mortise.session import discard, materialise
 
@@ -145,7 +146,8 @@ def search(docs: DataFrame, items: DataFrame, ranks: int = RANKS, bundle: int =
     names = materialise(items.select(F.col(item_id).alias("item_id"), F.lit(0).cast("long").alias("id"), F.col(text).alias("text"), row).where("text is not null"), "items")
     asked = materialise(doc_terms(names).select(F.col("key").alias("item"), "term"), "asked")
     many, length = totals(docs)
-    bundles = max(1, -(-names.count() // bundle))
+    asking = names.count()
+    bundles = max(1, -(-asking // bundle))
     vocabulary = materialise(asked.select("term").distinct().select("term", F.monotonically_increasing_id().alias("term_no")), "vocabulary")
     asked_no = asked.join(vocabulary, "term").select("item", "term_no", F.pmod(F.xxhash64("item"), F.lit(bundles)).cast("int").alias("bundle"))
 
@@ -166,7 +168,8 @@ def search(docs: DataFrame, items: DataFrame, ranks: int = RANKS, bundle: int =
     floors = plan.select("item", F.lit(0).cast("long").alias("floor"))
     for s in range(len(OWNERS) + 1):
         bounds = plan.select("item", F.col(f"due{s}").alias("due"), F.col(f"due{s + 1}").alias("rest")).join(floors, "item", "left")
-        left = state.join(bounds.withColumn("floor", F.coalesce("floor", F.lit(0))), "item")
+        bounds = bounds.withColumn("floor", F.coalesce("floor", F.lit(0)))
+        left = state.hint("merge").join(bounds, "item") if asking > BROADCAST_ROWS else state.join(F.broadcast(bounds), "item")  # a few numbers for each item
         gains = postings.join(routed.where(F.col("owner") == s), "term_no").select(F.explode("bundles").alias("bundle"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.col("term_no").alias("term"), "key", "id", (F.col("weight") * F.col("ratio")).alias("gain"))
         after = materialise(left.groupBy("bundle", "block").cogroup(gains.groupBy("bundle", "block")).applyInArrow(owner_stage(ranks), _STATE), f"bundles{s}")
         discard(state)

@@ -75,6 +75,7 @@ def test_an_owner_drops_only_what_is_below_the_floor():
 
 def test_shuffled_when_the_vocabulary_is_large(spark, monkeypatch):
     monkeypatch.setattr(search, "VOCABULARY_BYTES", 1)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 1)
     docs, items = corpus(6, 100)
     assert got(spark, docs, items, block=300) == plain(docs, items, 50)
 
