@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mortise.plans import calibration, ensembles, keywords, records, relations, retrieval, shaping, sources, statistics, structures
+from mortise.plans import calibration, ensembles, keywords, models, records, relations, retrieval, shaping, sources, statistics, structures
 
-_MODULES = (statistics, ensembles, relations, calibration, records, structures, retrieval, shaping, sources, keywords)
+_MODULES = (statistics, ensembles, relations, calibration, records, structures, retrieval, shaping, sources, keywords, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
