@@ -16,7 +16,7 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
     predict adds a column `prediction` to a frame with the features. All features and repeats are one job: in repeat r, the row at place i in
     order of the key takes the feature's value from the row at place i in an order by a hash of (seed, r, feature, key). Both places are exact
     and depend on nothing but keys (which must be unique), so partitions don't matter, and the join is by (repeat, feature, place), so nothing gathers. importance
-    is the mean over repeats of error less base error, spread its population deviation; the `count` most important features are given.
+    is the mean over repeats of error less base error, to six digits, spread its population deviation; the `count` most important features are given.
     """
     names = [*features, target]
     base = numbered(df.select(key, *names), [F.col(key)])
@@ -28,7 +28,7 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
     plain = predict(df.select(*names)).agg(error.alias("base_mae"))
     one = predict(changed).groupBy("feature", "repeat").agg(error.alias("mae"))
     out = one.groupBy("feature").agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("spread")).crossJoin(F.broadcast(plain))  # one row
-    out = out.select("feature", "base_mae", "mae", (F.col("mae") - F.col("base_mae")).alias("importance"), "spread")
+    out = out.select("feature", "base_mae", "mae", (F.round(F.col("mae") - F.col("base_mae"), 6) + 0.0).alias("importance"), "spread")
     place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))  # a row for each feature
     return out.withColumn("place", place).where(F.col("place") <= count)
 

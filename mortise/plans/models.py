@@ -48,9 +48,9 @@ def component_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regressor_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight regressors of an order's price by five folds of whole customers, and which is chosen; no twin, the models are fitted."""
+    """Eight regressors of an order's price by three folds of whole customers, and which is chosen; no twin, the models are fitted."""
     o = table(spark, sf, "orders")
-    f = fo.stratified_group_folds(o, "o_custkey", "o_orderstatus", 5, seed=7).select("o_custkey", "fold")
+    f = fo.stratified_group_folds(o, "o_custkey", "o_orderstatus", 3, seed=7).select("o_custkey", "fold")
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("gross"), F.sum("l_quantity").alias("pieces"), F.count(F.lit(1)).alias("lines"))
     known = o.join(f, "o_custkey").join(lines, "o_orderkey").select("fold", "pieces", "lines", F.year("o_orderdate").alias("year"), "gross")
     scores = cp.cross_validated(known, ["pieces", "lines", "year"], "gross", "fold", cp.grid(7))
@@ -85,7 +85,7 @@ e AS (SELECT r, f, line, CASE f WHEN 'price' THEN price WHEN 'discount' THEN dis
 d AS (SELECT r, f, v, row_number() OVER (PARTITION BY r, f ORDER BY md5('7:' || CAST(r AS VARCHAR) || ':' || f || ':' || line), line) AS k FROM e),
 m AS (SELECT f, r, avg(abs(CASE f WHEN 'price' THEN v ELSE price END * (1 - CASE f WHEN 'discount' THEN v ELSE discount END) - charge)) AS mae FROM p JOIN d USING (k) GROUP BY 1, 2),
 z AS (SELECT avg(abs(price * (1 - discount) - charge)) AS base FROM b),
-o AS (SELECT f AS feature, base AS base_mae, avg(mae) AS mae, avg(mae) - base AS importance, stddev_pop(mae) AS spread FROM m, z GROUP BY f, base)
+o AS (SELECT f AS feature, base AS base_mae, avg(mae) AS mae, round(avg(mae) - base, 6) + 0.0 AS importance, stddev_pop(mae) AS spread FROM m, z GROUP BY f, base)
 SELECT feature, round(base_mae, 3) AS base_mae, round(mae, 3) AS mae, round(importance, 3) AS importance, round(spread, 3) AS spread, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS place FROM o
 """,
     "diverse_uncertainty": """
