@@ -16,10 +16,13 @@ document with the smallest id.
    in fewer than AGREE of their values are left out (a pair of similarity 0.8 has that few with
    probability 0.0002); the others are verified exactly on the two whole sets of shingles, made from the two texts.
    Links go through graph.components().
-4. In buckets that still hold lines of several components, all lines are compared where the bucket has FULL lines at most. Those of
-   larger ones are dealt again to finer buckets, one for every two bands, where the same holds, and beyond FULL lines each
-   is paired with the first and last. All steps are linear in the lines they have, so a family of similar lines that don't
-   link never makes all pairs. The price is recall inside such families; README has measured figures.
+4. In buckets that still hold lines of several components, all lines are compared where the bucket has FULL lines at most. The lines of
+   larger ones are dealt again, by their rarest shingles. All shingles of these lines are put in one order, rare ones (by a count over
+   SLOTS hash slots) first and then by hash. Of two lines whose similarity is 0.8 or more, each of n shingles, the first
+   floor(n / 5) + 1 have a shingle in common, whatever the order; so a line goes to a bucket for each of those, and all lines of different
+   components that meet there and may link by their signatures are verified. That loses no link between lines that shared a band. What a family
+   of similar lines has in common is frequent and comes last, so its lines part; a bucket that is large all the same is
+   compared in blocks of BLOCK lines, each with all lines of the bucket, so that it is many tasks' work.
 
 Defined results. A null or empty text has no lines. A text of any length is one row's arrays; nothing of it is cut. Rows with a
 null doc_id come after all others and follow one another by a hash of their text. Rows that share a doc_id but not their text
@@ -30,8 +33,6 @@ columns of any name pass through.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mortise.llm.graph import bounded_broadcast, components
@@ -43,8 +44,8 @@ STEP = 4
 BANDS, ROWS = 8, 3
 AGREE = 12
 THRESHOLD = 80
-#: Lines of a bucket that are all compared with one another.
-FULL = 8
+#: Lines of a band's bucket that are all compared with one another there; lines that a block of a larger bucket holds; slots in which shingles are counted.
+FULL, BLOCK, SLOTS = 8, 64, 2**20
 #: A line's place is its document's key * 2^PLACE_BITS + its number in the text.
 PLACE_BITS, HASH_BITS = 26, 36
 _WIDE = "decimal(38,0)"
@@ -141,32 +142,46 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(close.where((100 + THRESHOLD) * shared >= THRESHOLD * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
 
 
-def _pairs(members: DataFrame, full: int = 0, done: DataFrame | None = None) -> DataFrame:
-    """members (bucket, place, sig, root) -> pairs (a, b) with different roots that may be similar: each line with its bucket's first and last, and all lines of a bucket of at most full lines with one another; without the pairs done (a, b)."""
-    ends = members.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last")
-    far = ends.select("bucket", F.explode(F.array("first", "last")).alias("to"), "size").where(F.col("size") > full)
-    other = members.select("bucket", F.col("place").alias("to"), F.col("sig").alias("other"), F.col("root").alias("far"))
-    to = far.join(other, ["bucket", "to"]).select("bucket", "to", "other", "far")
-    if full:
-        to = to.union(ends.where(F.col("size") <= full).select("bucket").join(other, "bucket").select("bucket", "to", "other", "far"))
-    near = members.join(to, "bucket").where((F.col("root") != F.col("far")) & _may_link("sig", "other"))
-    pairs = near.select(F.least("place", "to").alias("a"), F.greatest("place", "to").alias("b")).distinct()
-    return materialise(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
+def _pairs(members: DataFrame) -> DataFrame:
+    """members (bucket, place, sig) -> pairs (a, b) that may be similar: each line with its bucket's first and last."""
+    ends = members.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    far = ends.select("bucket", F.explode(F.array("first", "last")).alias("to"))
+    to = far.join(members.select("bucket", F.col("place").alias("to"), F.col("sig").alias("other")), ["bucket", "to"])
+    near = members.join(to, "bucket").where((F.col("place") != F.col("to")) & _may_link("sig", "other"))
+    return materialise(near.select(F.least("place", "to").alias("a"), F.greatest("place", "to").alias("b")).distinct(), "pairs")
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """members (bucket, place, sig, root) -> pairs (a, b) of a bucket with different roots that may be similar; large buckets in blocks."""
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    some = members.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "block", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"))
+    right = some.select("bucket", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"))
+    met = left.join(right, ["bucket", "block"]).where((F.col("a") < F.col("b")) & (F.col("near") != F.col("far")) & _may_link("one", "other"))
+    return met.select("a", "b")
+
+
+def _by_rare_shingles(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """texts (place, line, n), lines (place, sig, root) -> bucket, place, sig, root: each of the lines in a bucket for every one of its first floor(n / 5) + 1 shingles, rare ones first."""
+    own = texts.join(bounded_broadcast(lines.select("place")), "place")
+    shingles = own.select("place", "n", F.explode(F.array_distinct(_hashes("line"))).alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
+    counts = materialise(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("seen")), "slots")
+    ranked = shingles.join(F.broadcast(counts), "slot").groupBy("place", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "h"))).alias("all_"))  # SLOTS rows; one line's shingles
+    first = ranked.select("place", F.explode(F.slice("all_", F.lit(1), F.floor(F.col("n") * (100 - THRESHOLD) / 100).cast("int") + 1)).alias("x")).select("place", F.col("x.h").alias("bucket"))
+    return first.join(lines, "place").select("bucket", "place", "sig", "root")
 
 
-def _mixed(members: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lines of buckets that hold lines of several components (bucket, place, sig, root); those of buckets of more than FULL lines are dealt to a bucket for every two bands."""
-    named = members.select("bucket", "place", "sig").join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
+def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a bucket and are in different components so far, and may be similar; without the pairs done."""
+    named = members.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
     named = materialise(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 3").select("bucket", "size")
     open_ = materialise(named.join(bounded_broadcast(materialise(mixed, "mixed")), "bucket"), "open")
-    keys = [F.xxhash64(*(f"band_{b}" for b in some)) for some in combinations(range(BANDS), 2)]
-    large = materialise(open_.where(F.col("size") > FULL).select("place", "root").distinct(), "large")
-    dealt = distinct.join(bounded_broadcast(large), "place").select(F.explode(F.array(*keys)).alias("bucket"), "place", "sig", "root")
-    shared = materialise(dealt.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
-    finer = dealt.join(bounded_broadcast(shared), "bucket").select("bucket", "place", "sig", "root")
-    out = materialise(open_.where(F.col("size") <= FULL).select("bucket", "place", "sig", "root").union(finer), "members")
-    discard(named, open_, large, shared)
+    large = materialise(open_.where(F.col("size") > FULL).select("place", "sig", "root").distinct(), "large")
+    finer = materialise(_by_rare_shingles(texts, large), "finer")
+    pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", "sig", "root")).union(_all_pairs(finer)).distinct()
+    out = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(named, open_, large, finer)
     return out
 
 
@@ -175,21 +190,21 @@ def kept_places(docs: DataFrame) -> tuple[DataFrame, str]:
     kind = _key_type(docs)
     lines = _occurrences(docs, kind)
     distinct = materialise(_signatures(lines), "lines")
-    members = distinct.select("place", F.col("place").alias("root"), "sig", F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("bucket"))
+    members = distinct.select("place", "sig", F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("bucket"))
     buckets = materialise(members.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
     members = materialise(members.join(bounded_broadcast(buckets), "bucket"), "members")
     wanted = materialise(members.select("place").distinct(), "wanted")
     texts = materialise(_sized(lines.join(bounded_broadcast(wanted), "place")), "texts")
     done = _pairs(members)
     roots = components(_verified(texts, done))
-    mixed = _mixed(members, distinct, roots)
     # pairs of the first round whose lines still have different roots are known not to link
-    links = _verified(texts, _pairs(mixed, FULL, done))
+    pairs = _open_pairs(members, texts, roots, done)
+    links = _verified(texts, pairs)
     if not links.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     # only lines that are not first in their component go
     gone = materialise(roots.where("node <> root").select(F.col("node").alias("place")), "gone")
-    discard(buckets, wanted, members, mixed, texts, done)
+    discard(buckets, wanted, members, texts, done, pairs)
     return distinct.select("place").join(bounded_broadcast(gone), "place", "left_anti"), kind
 
 
