@@ -29,7 +29,8 @@ def train_validation_test(spark: SparkSession, sf: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Which columns the discounted price leans on, as a prediction of the charge with tax."""
     number = {"price": "l_extendedprice", "quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    cents = [F.round(F.col(c) * 100).cast("long").cast("string") for c in number.values()]  # lines may share all keys; those equal in this too are alike
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cents)
     lines = table(spark, sf, "lineitem").select(line.alias("line"), *(F.col(c).cast("double").alias(n) for n, c in number.items())).withColumn("charge", F.col("price") * (1 - F.col("discount")) * (1 + F.col("tax")))
     discounted = F.col("price") * (1 - F.col("discount"))
     return rounded(im.permutation_importance(lines, "line", list(number), "charge", lambda df: df.withColumn("prediction", discounted), repeats=10, seed=7), 3)
@@ -78,7 +79,7 @@ SELECT g AS o_custkey, n, stratum, CAST(least(k, 9 - k) AS INTEGER) AS fold FROM
     "leave_one_group_out_folds": "SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS fold FROM (SELECT DISTINCT p_brand FROM part)",
     "train_validation_test": "WITH p AS (SELECT g, row_number() OVER (ORDER BY md5('7:' || CAST(g AS VARCHAR)), g) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS g FROM orders)) SELECT g AS o_custkey, CASE WHEN k < floor(0.8::DOUBLE * n + 0.5) THEN 'train' WHEN k < floor((0.8::DOUBLE + 0.1::DOUBLE) * n + 0.5) THEN 'validation' ELSE 'test' END AS part FROM p",
     "permutation_importance": """
-WITH b0 AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem),
+WITH b0 AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT)) AS line, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem),
 b AS (SELECT *, price * (1 - discount) * (1 + tax) AS charge FROM b0),
 p AS (SELECT *, row_number() OVER (ORDER BY line) AS k FROM b),
 e AS (SELECT r, f, line, CASE f WHEN 'price' THEN price WHEN 'discount' THEN discount ELSE 0 END AS v FROM b, (SELECT unnest(range(10)) AS r), (SELECT unnest(['price', 'quantity', 'discount', 'tax']) AS f)),
