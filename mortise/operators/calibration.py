@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mortise.operators.ranks import with_quantiles
+from mortise.operators.shaping import exact_quantiles
+
 
 def target_encoding(df: DataFrame, group: str, fold: str, target: str) -> DataFrame:
     """df with encoded: the mean target of the row's group outside the row's fold; where the group has no other fold, the mean of all rows outside the fold."""
@@ -26,7 +29,8 @@ def affine(df: DataFrame, group: str, pred: str, target: str, least: int = 5) ->
 def shrunken_offset(df: DataFrame, group: str, pred: str, target: str, k: float = 8.0, limit: float = 1.0) -> DataFrame:
     """df with calibrated: pred plus the group's median residual, clipped to limit and shrunk by n / (n + k)."""
     r = F.col(target) - F.col(pred)
-    fit = df.where(r.isNotNull()).withColumn("r_", r).groupBy(group).agg(F.percentile("r_", F.lit(0.5)).alias("m_"), F.count("r_").alias("n_"))
+    known = df.where(r.isNotNull()).select(group, r.alias("r_"))
+    fit = with_quantiles(known.groupBy(group).agg(F.count("r_").alias("n_")), known, [group], "r_", {"m_": 0.5})
     shift = F.greatest(F.least(F.col("m_"), F.lit(limit)), F.lit(-limit)) * F.col("n_") / (F.col("n_") + k)
     return df.join(fit.select(group, shift.alias("s_")), group, "left").withColumn("calibrated", F.col(pred) + F.coalesce("s_", F.lit(0.0))).drop("s_")
 
@@ -44,12 +48,12 @@ def multi_level(rows: DataFrame, train: DataFrame, levels: list[tuple[list[str],
     """rows with looked_up: the weighted mean of the levels' group medians; a level weighs base * min(1, n / shrink), the median of all rows weighs overall."""
     top, bottom, out = F.lit(0.0), F.lit(0.0), rows
     for i, (keys, base) in enumerate(levels):
-        own = train.groupBy(*keys).agg(F.percentile(target, F.lit(0.5)).alias(f"m{i}_"), F.count(target).alias(f"n{i}_"))
+        own = with_quantiles(train.groupBy(*keys).agg(F.count(target).alias(f"n{i}_")), train, keys, target, {f"m{i}_": 0.5})
         out = out.join(own, keys, "left")
         w = F.coalesce(F.lit(base) * F.least(F.lit(1.0), F.col(f"n{i}_") / shrink), F.lit(0.0))
         top, bottom = top + w * F.coalesce(f"m{i}_", F.lit(0.0)), bottom + w
-    out = out.crossJoin(F.broadcast(train.agg(F.percentile(target, F.lit(0.5)).alias("all_"))))  # one row
-    return out.withColumn("looked_up", (top + overall * F.col("all_")) / (bottom + overall)).select(*rows.columns, "looked_up")
+    middle = F.lit(exact_quantiles(train, target, [0.5])[0]).cast("double")
+    return out.withColumn("looked_up", (top + overall * middle) / (bottom + overall)).select(*rows.columns, "looked_up")
 
 
 def inverse_frequency(df: DataFrame, keys: list[str], power: float = 0.5) -> DataFrame:
@@ -64,9 +68,8 @@ def capped_inverse_weights(df: DataFrame, score: str, floor: float = 0.05, cap:
     """df with weight: 1 / max(score - lowest + floor, floor), capped at that quantile of itself, summing to 1."""
     low = df.agg(F.min(score).alias("low_"))
     raw = df.crossJoin(F.broadcast(low)).withColumn("w_", 1.0 / F.greatest(F.col(score) - F.col("low_") + floor, F.lit(floor)))
-    top = raw.agg(F.percentile("w_", F.lit(cap)).alias("cap_"))
-    capped = raw.crossJoin(F.broadcast(top)).withColumn("w_", F.least("w_", "cap_"))
-    return capped.crossJoin(F.broadcast(capped.agg(F.sum("w_").alias("sum_")))).withColumn("weight", F.col("w_") / F.col("sum_")).drop("w_", "low_", "cap_", "sum_")
+    capped = raw.withColumn("w_", F.least("w_", F.lit(exact_quantiles(raw, "w_", [cap])[0]).cast("double")))
+    return capped.crossJoin(F.broadcast(capped.agg(F.sum("w_").alias("sum_")))).withColumn("weight", F.col("w_") / F.col("sum_")).drop("w_", "low_", "sum_")
 
 
 def guarded_blend(anchor: str, model: str, weight: float, limit: float) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mortise.operators.ranks import with_quantiles
+
 
 def by_id(runs: DataFrame, key: str, pred: str, weight: str | None = None) -> DataFrame:
     """count, mean, median, std (0 for one run), range, trimmed mean (a tenth of the order statistics off each end, from 5 runs) and, given weights, weighted mean (null where they sum to 0)."""
@@ -30,7 +32,9 @@ def rank_quantile_map(df: DataFrame, group: str, score: str, values: str, tie: s
 
 def recenter(df: DataFrame, group: str, pred: str, anchor: str, least: int = 3) -> DataFrame:
     """pred moved by median(anchor) - median(pred) of its group, where that has least rows (column recentred)."""
-    shift = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_"), (F.percentile(anchor, F.lit(0.5)) - F.percentile(pred, F.lit(0.5))).alias("s_"))
+    many = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_"))
+    both = with_quantiles(with_quantiles(many, df, [group], anchor, {"a_": 0.5}), df, [group], pred, {"p_": 0.5})
+    shift = both.select(group, "n_", (F.col("a_") - F.col("p_")).alias("s_"))
     return df.join(shift, group).withColumn("recentred", F.col(pred) + F.when(F.col("n_") >= least, F.col("s_")).otherwise(0.0)).drop("n_", "s_")
 
 

@@ -56,3 +56,13 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str,
     found = run.groupBy(*groups).agg(*picked)
     value_of = lambda n: F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_f_{n}")
     return found.select(*(F.col(g).alias(c) for c, g in zip(by, groups, strict=True)), *(value_of(n).alias(n) for n in shares))
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """grouped (a row for each value of by in df) with group_quantiles() of df; null where a group has no value."""
+    found = group_quantiles(df, by, value, shares)
+    renamed = found.select(*(F.col(c).alias(f"_j{i}") for i, c in enumerate(by)), *shares)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    return grouped.join(renamed, same, "left").drop(*(f"_j{i}" for i in range(len(by))))

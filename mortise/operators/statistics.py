@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mortise.operators.ranks import with_quantiles
+from mortise.operators.shaping import exact_quantiles
+
 
 def quantile(value: str, p: float) -> Column:
     """The exact, linearly interpolated quantile."""
@@ -11,11 +14,8 @@ def quantile(value: str, p: float) -> Column:
 
 
 def summary(value: str) -> list[Column]:
-    """n, mean, median, std (sample), q1, q3, min, max of the non-null values."""
-    return [
-        F.count(value).alias("n"), F.avg(value).alias("mean"), quantile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"),
-        quantile(value, 0.25).alias("q1"), quantile(value, 0.75).alias("q3"), F.min(value).alias("low"), F.max(value).alias("high"),
-    ]
+    """n, mean, std (sample), min, max of the non-null values."""
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")]
 
 
 def clean_category(name: str) -> Column:
@@ -24,22 +24,20 @@ def clean_category(name: str) -> Column:
 
 
 def group_summary(df: DataFrame, keys: list[str], value: str, min_n: int = 1) -> DataFrame:
-    """summary() for each group, and delta: the group's median less that of all rows."""
+    """summary(), median, q1 and q3 for each group, and delta: the group's median less that of all rows."""
     known = df.where(F.col(value).isNotNull()).withColumns({k: clean_category(k) for k in keys})
-    overall = known.agg(quantile(value, 0.5).alias("all_median"))
-    out = known.groupBy(*keys).agg(*summary(value)).where(F.col("n") >= min_n)
-    return out.crossJoin(F.broadcast(overall)).withColumn("delta", F.col("median") - F.col("all_median")).drop("all_median")  # one row
+    (overall,) = exact_quantiles(known, value, [0.5])
+    out = with_quantiles(known.groupBy(*keys).agg(*summary(value)).where(F.col("n") >= min_n), known, keys, value, {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return out.select(*keys, "n", "mean", "median", "std", "q1", "q3", "low", "high", (F.col("median") - F.lit(overall).cast("double")).alias("delta"))
 
 
 def outliers(df: DataFrame, value: str, times: float = 1.5, z: float = 3.5) -> DataFrame:
-    """df with iqr_out (outside q1 - times IQR .. q3 + times IQR), mad_z (.6745 (x - median) / MAD, 0 when MAD is 0) and mad_out. Bounds are one row."""
-    q = df.agg(quantile(value, 0.25).alias("q1_"), quantile(value, 0.5).alias("q2_"), quantile(value, 0.75).alias("q3_"))
-    both = df.crossJoin(F.broadcast(q))
-    mad = both.agg(F.expr(f"percentile(abs({value} - q2_), 0.5)").alias("mad_"))
-    x, iqr = F.col(value), F.col("q3_") - F.col("q1_")
-    score = F.when(F.col("mad_") == 0, 0.0).otherwise(0.6745 * (x - F.col("q2_")) / F.col("mad_"))
-    out = both.crossJoin(F.broadcast(mad))
-    return out.withColumns({"iqr_out": (x < F.col("q1_") - times * iqr) | (x > F.col("q3_") + times * iqr), "mad_z": score, "mad_out": F.abs(score) > z}).drop("q1_", "q2_", "q3_", "mad_")
+    """df with iqr_out (outside q1 - times IQR .. q3 + times IQR), mad_z (.6745 (x - median) / MAD, 0 when MAD is 0) and mad_out."""
+    q1, q2, q3 = (F.lit(q).cast("double") for q in exact_quantiles(df, value, [0.25, 0.5, 0.75]))
+    x, iqr = F.col(value), q3 - q1
+    mad = F.lit(exact_quantiles(df.select(F.abs(x - q2).alias("d_")), "d_", [0.5])[0]).cast("double")
+    score = F.when(mad == 0, 0.0).otherwise(0.6745 * (x - q2) / mad)
+    return df.withColumns({"iqr_out": (x < q1 - times * iqr) | (x > q3 + times * iqr), "mad_z": score, "mad_out": F.abs(score) > z})
 
 
 def average_rank(by: list[str], order: str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mortise.operators import calibration as ca, statistics as st
 from mortise.plans.statistics import _PRED, predictions, rounded
+from mortise.operators.ranks import group_quantiles
+from mortise.operators.shaping import exact_quantiles
 from mortise.session import table
 
 
@@ -87,16 +89,15 @@ def error_by_group_and_method(spark: SparkSession, sf: str) -> DataFrame:
 
 def quantile_table(spark: SparkSession, sf: str) -> DataFrame:
     at = (0.05, 0.25, 0.5, 0.75, 0.95)
-    q = table(spark, sf, "part").groupBy("p_type").agg(F.percentile("p_retailprice", F.array(*map(F.lit, at))).alias("q"))
-    return rounded(q.select("p_type", *(F.get("q", F.lit(i)).alias(f"q{int(p * 100):02d}") for i, p in enumerate(at))), 4)
+    return rounded(group_quantiles(table(spark, sf, "part"), ["p_type"], "p_retailprice", {f"q{int(p * 100):02d}": p for p in at}), 4)
 
 
 def quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
     """Five bins between the distinct quantiles of all prices: right-closed, the first including its lower edge."""
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    edges = p.agg(F.array_distinct(F.percentile("p_retailprice", F.array(*(F.lit(i / 5) for i in range(6))))).alias("e"))  # one row
-    below = lambda x: F.greatest(F.size(F.filter("e", lambda v: v < F.col("p_retailprice"))) - 1, F.lit(0))
-    return p.crossJoin(F.broadcast(edges)).groupBy(below(None).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    edges = F.array_distinct(F.array(*(F.lit(q).cast("double") for q in exact_quantiles(p, "p_retailprice", [i / 5 for i in range(6)]))))
+    below = F.greatest(F.size(F.filter(edges, lambda v: v < F.col("p_retailprice"))) - 1, F.lit(0))
+    return p.groupBy(below.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mortise.operators import ensembles as en, statistics as st
 from mortise.plans.statistics import _PRED, predictions, rounded
+from mortise.operators.ranks import with_quantiles
 from mortise.session import table
 
 
@@ -15,7 +16,8 @@ def ensemble_by_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_stability(spark: SparkSession, sf: str) -> DataFrame:
     j = predictions(spark, sf).withColumn("e", F.abs(F.col("pred") - F.col("target")))
-    return rounded(j.groupBy("run").agg(F.count("e").alias("n"), F.avg("e").alias("mae"), st.quantile("e", 0.5).alias("p50"), st.quantile("e", 0.9).alias("p90"), F.max("e").alias("worst"), F.count_if(F.col("e") > 500).alias("over_500")), 4)
+    sums = j.groupBy("run").agg(F.count("e").alias("n"), F.avg("e").alias("mae"), F.max("e").alias("worst"), F.count_if(F.col("e") > 500).alias("over_500"))
+    return rounded(with_quantiles(sums, j, ["run"], "e", {"p50": 0.5, "p90": 0.9}), 4)
 
 
 def run_filter_fallback(spark: SparkSession, sf: str) -> DataFrame:

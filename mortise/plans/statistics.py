@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mortise.operators import statistics as st
+from mortise.operators.ranks import with_quantiles
+from mortise.operators.shaping import exact_quantiles
 from mortise.session import table
 
 R = 6
@@ -25,7 +27,9 @@ def target_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def interaction_table(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
-    return rounded(l.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean_price"), st.quantile("l_extendedprice", 0.5).alias("median_price"), F.sum("l_quantity").alias("sum_qty")).where("n >= 5"), 4)
+    keys = ["l_returnflag", "l_linestatus"]
+    sums = l.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean_price"), F.sum("l_quantity").alias("sum_qty")).where("n >= 5")
+    return rounded(with_quantiles(sums, l, keys, "l_extendedprice", {"median_price": 0.5}), 4)
 
 
 def interaction_pivot(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,9 +52,9 @@ def corr_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def effect_high_low(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    q = l.agg(st.quantile("l_quantity", 0.25).alias("a"), st.quantile("l_quantity", 0.75).alias("b"))
-    sides = l.crossJoin(F.broadcast(q)).select("l_extendedprice", F.when(F.col("l_quantity") <= F.col("a"), "low").when(F.col("l_quantity") >= F.col("b"), "high").alias("side"))
-    m = sides.agg(*(F.expr(f"percentile(l_extendedprice, 0.5) filter (where side = '{s}')").alias(f"median_{s}") for s in ("high", "low")), F.stddev_pop("l_extendedprice").alias("sd"))
+    a, b = exact_quantiles(l, "l_quantity", [0.25, 0.75])
+    low, high = (exact_quantiles(l.where(c), "l_extendedprice", [0.5])[0] for c in (F.col("l_quantity") <= a, (F.col("l_quantity") >= b) & (F.col("l_quantity") > a)))
+    m = l.agg(F.lit(high).cast("double").alias("median_high"), F.lit(low).cast("double").alias("median_low"), F.stddev_pop("l_extendedprice").alias("sd"))
     return rounded(m.select("median_high", "median_low", (F.col("median_high") - F.col("median_low")).alias("effect"), F.try_divide(F.col("median_high") - F.col("median_low"), "sd").alias("effect_sd")), 4)
 
 
@@ -61,7 +65,8 @@ def cliffs_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 def binned_response(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").select((F.floor((F.col("l_quantity") - 1) / 10)).cast("long").alias("bin"), "l_extendedprice")
-    return rounded(l.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), st.quantile("l_extendedprice", 0.5).alias("median"), st.quantile("l_extendedprice", 0.25).alias("q1"), st.quantile("l_extendedprice", 0.75).alias("q3")).where("n >= 2"), 4)
+    many = l.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return rounded(with_quantiles(many, l, ["bin"], "l_extendedprice", {"median": 0.5, "q1": 0.25, "q3": 0.75}), 4)
 
 
 def outlier_flags(spark: SparkSession, sf: str) -> DataFrame:
