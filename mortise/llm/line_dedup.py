@@ -20,9 +20,9 @@ document with the smallest id.
    larger ones are dealt again, by their rarest shingles. All shingles of these lines are put in one order, rare ones (by a count over
    SLOTS hash slots) first and then by hash. Of two lines whose similarity is 0.8 or more, each of n shingles, the first
    floor(n / 5) + 1 have a shingle in common, whatever the order; so a line goes to a bucket for each of those, and all lines of different
-   components that meet there and may link by their signatures are verified. That loses no link between lines that shared a band. What a family
+   components that meet there, have sets of fitting sizes and may link by their signatures are verified. That loses no link between lines that shared a band. What a family
    of similar lines has in common is frequent and comes last, so its lines part; a bucket that is large all the same is
-   compared in blocks of BLOCK lines, each with all lines of the bucket, so that it is many tasks' work.
+   compared in blocks of BLOCK lines, each with the bucket's lines outside its largest component, so that it is many tasks' work.
 
 Defined results. A null or empty text has no lines. A text of any length is one row's arrays; nothing of it is cut. Rows with a
 null doc_id come after all others and follow one another by a hash of their text. Rows that share a doc_id but not their text
@@ -45,7 +45,7 @@ BANDS, ROWS = 8, 3
 AGREE = 12
 THRESHOLD = 80
 #: Lines of a band's bucket that are all compared with one another there; lines that a block of a larger bucket holds; slots in which shingles are counted.
-FULL, BLOCK, SLOTS = 8, 64, 2**20
+FULL, BLOCK, SLOTS = 8, 1000, 2**20
 #: A line's place is its document's key * 2^PLACE_BITS + its number in the text.
 PLACE_BITS, HASH_BITS = 26, 36
 _WIDE = "decimal(38,0)"
@@ -152,23 +152,39 @@ def _pairs(members: DataFrame) -> DataFrame:
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """members (bucket, place, sig, root) -> pairs (a, b) of a bucket with different roots that may be similar; large buckets in blocks."""
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    some = members.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-    left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "block", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"))
-    right = some.select("bucket", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"))
-    met = left.join(right, ["bucket", "block"]).where((F.col("a") < F.col("b")) & (F.col("near") != F.col("far")) & _may_link("one", "other"))
-    return met.select("a", "b")
+    """members (bucket, place, sig, root) -> pairs (a, b) of a small bucket with different roots that may be similar."""
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    left = members.join(mixed, "bucket").select("bucket", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"))
+    right = members.select("bucket", F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"))
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("near") != F.col("far")) & _may_link("one", "other")).select("a", "b")
+
+
+def _shingle_pairs(members: DataFrame) -> DataFrame:
+    """members (bucket, place, sig, root, n, left) -> pairs (a, b) of a bucket with different roots that may be similar.
+
+    Lines of the component that has most lines of a bucket meet the others only. A pair is looked at where it may meet for the first time: what is left
+    of both lines from this shingle on, in the order of shingles, must hold all that they share.
+    """
+    many = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = many.groupBy("bucket").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    some = members.join(mixed.select("bucket", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    few = some.where(F.col("root") != F.col("major")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    few = few.select("bucket", "block", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"), F.col("n").alias("na"), F.col("left").alias("lefta"))
+    all_ = some.select("bucket", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"), F.col("n").alias("nb"), F.col("left").alias("leftb"), (F.col("root") == F.col("major")).alias("common"))
+    fits = (100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & ((100 + THRESHOLD) * F.least("lefta", "leftb") >= THRESHOLD * (F.col("na") + F.col("nb")))
+    met = few.join(all_, ["bucket", "block"]).where((F.col("common") | (F.col("a") < F.col("b"))) & (F.col("near") != F.col("far")) & fits & _may_link("one", "other"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _by_rare_shingles(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """texts (place, line, n), lines (place, sig, root) -> bucket, place, sig, root: each of the lines in a bucket for every one of its first floor(n / 5) + 1 shingles, rare ones first."""
+    """texts (place, line, n), lines (place, sig, root) -> bucket, place, sig, root, n, left (its shingles from this one on): each of the lines in a bucket for every one of its first floor(n / 5) + 1 shingles, rare ones first."""
     own = texts.join(bounded_broadcast(lines.select("place")), "place")
     shingles = own.select("place", "n", F.explode(F.array_distinct(_hashes("line"))).alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
     counts = materialise(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("seen")), "slots")
     ranked = shingles.join(F.broadcast(counts), "slot").groupBy("place", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "h"))).alias("all_"))  # SLOTS rows; one line's shingles
-    first = ranked.select("place", F.explode(F.slice("all_", F.lit(1), F.floor(F.col("n") * (100 - THRESHOLD) / 100).cast("int") + 1)).alias("x")).select("place", F.col("x.h").alias("bucket"))
-    return first.join(lines, "place").select("bucket", "place", "sig", "root")
+    first = F.slice("all_", F.lit(1), F.floor(F.col("n") * (100 - THRESHOLD) / 100).cast("int") + 1)
+    first = ranked.select("place", "n", F.posexplode(first).alias("at", "x")).select("place", "n", (F.col("n") - F.col("at")).alias("left"), F.col("x.h").alias("bucket"))
+    return first.join(lines, "place").select("bucket", "place", "sig", "root", "n", "left")
 
 
 def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
@@ -179,7 +195,7 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: Da
     open_ = materialise(named.join(bounded_broadcast(materialise(mixed, "mixed")), "bucket"), "open")
     large = materialise(open_.where(F.col("size") > FULL).select("place", "sig", "root").distinct(), "large")
     finer = materialise(_by_rare_shingles(texts, large), "finer")
-    pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", "sig", "root")).union(_all_pairs(finer)).distinct()
+    pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", "sig", "root")).union(_shingle_pairs(finer)).distinct()
     out = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     discard(named, open_, large, finer)
     return out
