@@ -66,3 +66,15 @@ def with_quantiles(grouped: DataFrame, df: DataFrame, by: list[str], value: str,
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_j{i}"))
     return grouped.join(renamed, same, "left").drop(*(f"_j{i}" for i in range(len(by))))
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows up to and with each row in order of a column; rows that are equal in it count together.
+
+    Rows are dealt by range; a row has its partition's running sum and the sums of the partitions before, of which there are as many as partitions.
+    """
+    stored = materialise(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = stored.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(order).alias("_low"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy(F.asc_nulls_first("_low")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(order))
+    return stored.withColumn(name, own).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))

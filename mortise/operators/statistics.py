@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mortise.operators.ranks import with_quantiles
+from mortise.operators.ranks import running_sum, with_quantiles
 from mortise.operators.shaping import exact_quantiles
 
 
@@ -62,10 +62,7 @@ def metrics(target: str, pred: str) -> list[Column]:
 
 def cliffs_delta(df: DataFrame, group: str, value: str) -> DataFrame:
     """(#greater - #less) / (n1 n0) over all pairs of group 1 and group 0, from counts by distinct value: a running sum in place of pairs."""
-    from pyspark.sql import Window
-
     c = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) == 0).alias("b"))
-    below = F.sum("b").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
-    placed = c.withColumn("below", below)
+    placed = running_sum(c, value, "b", "upto").withColumn("below", F.col("upto") - F.col("b"))
     total = placed.agg(F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(F.col("a") * F.col("below")).alias("gt"), F.sum(F.col("a") * F.col("b")).alias("eq"))
     return total.select("n1", "n0", F.try_divide(2 * F.col("gt") + F.col("eq") - F.col("n1") * F.col("n0"), F.col("n1") * F.col("n0")).alias("delta"))

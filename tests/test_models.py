@@ -27,6 +27,14 @@ def test_places_in_groups_with_nulls_and_skew(spark):
     assert sorted((x.id, x.place) for x in whole) == [(i, i) for i in range(500)]
 
 
+def test_running_sums_over_ranges(spark):
+    rows = [(i % 37, i) for i in range(400)]
+    got = ranks.running_sum(spark.createDataFrame(rows, "k int, v int").repartition(5), "k", "v", "upto").collect()
+    want = {k: sum(v for j, v in rows if j <= k) for k in range(37)}
+    assert len(got) == 400 and all(x.upto == want[x.k] for x in got)
+    assert ranks.running_sum(spark.createDataFrame([], "k int, v int"), "k", "v", "upto").collect() == []
+
+
 def test_group_quantiles_equal_numpy(spark):
     r = random.Random(2)
     rows = [(r.choice(["a", "b", None]), r.choice(["x", "y"]), r.choice([None, r.random(), 1.0, 5.0])) for _ in range(600)] + [("lone", "x", 3.0), ("none", "x", None)]
