@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mortise.plans import calibration, ensembles, keywords, lattices, models, records, relations, retrieval, shaping, sites, sources, statistics, structures
+from mortise.plans import calibration, ensembles, fusion, keywords, lattices, models, records, relations, retrieval, shaping, sites, sources, statistics, structures
 
-_MODULES = (statistics, ensembles, relations, calibration, records, structures, retrieval, shaping, sources, keywords, models, lattices, sites)
+_MODULES = (statistics, ensembles, relations, calibration, records, structures, retrieval, shaping, sources, keywords, models, lattices, sites, fusion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
