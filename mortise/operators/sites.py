@@ -49,19 +49,19 @@ def _classes(rows: DataFrame, group: list[str], features: list[str], name: str,
 
 def _meetings(sites: DataFrame, records: DataFrame, group: list[str]) -> DataFrame:
     """Pairs of classes that share a word or a chunk, or of which the record's text holds the site's active atom, label or kind. A pair without any of these scores .15 at most, which neither links nor takes a margin."""
-    of_sites = sites.select(*group, "s", F.explode(F.array_distinct(F.concat(_keys(F.col("words"), F.col("chunks")), F.transform(F.filter(F.array("active", "label", "kind"), lambda p: p != ""), lambda p: F.concat(F.lit("p:"), p))))).alias("key"))
+    of_sites = sites.select(*group, "sid", F.explode(F.array_distinct(F.concat(_keys(F.col("words"), F.col("chunks")), F.transform(F.filter(F.array("active", "label", "kind"), lambda p: p != ""), lambda p: F.concat(F.lit("p:"), p))))).alias("key"))
     of_sites = materialise(of_sites, "site-keys")
     phrases = of_sites.where(F.col("key").startswith("p:"))
     lengths = phrases.select(*group, (F.char_length("key") - 2).alias("n")).distinct()
     pieces = F.regexp_extract_all("text", F.concat(F.lit("(?=(.{"), F.col("n").cast("string"), F.lit("}))")), F.lit(1))
-    inside = records.join(lengths, group).select(*group, "r", F.explode(F.array_distinct(pieces)).alias("piece")).select(*group, "r", F.concat(F.lit("p:"), "piece").alias("key"))
+    inside = records.join(lengths, group).select(*group, "rid", F.explode(F.array_distinct(pieces)).alias("piece")).select(*group, "rid", F.concat(F.lit("p:"), "piece").alias("key"))
     inside = inside.join(phrases.select(*group, "key").distinct(), [*group, "key"], "left_semi")
-    by_word = records.select(*group, "r", F.explode(_keys(F.col("words"), F.col("chunks"))).alias("key"))
+    by_word = records.select(*group, "rid", F.explode(_keys(F.col("words"), F.col("chunks"))).alias("key"))
     of_records = materialise(by_word.unionByName(inside), "record-keys")
     parts = of_records.groupBy(*group, "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    left = of_records.join(parts, [*group, "key"]).withColumn("block", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
+    left = of_records.join(parts, [*group, "key"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     right = of_sites.join(parts, [*group, "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = materialise(left.join(right, [*group, "key", "block"]).select("r", "s").distinct(), "meetings")
+    out = materialise(left.join(right, [*group, "key", "block"]).select("rid", "sid").distinct(), "meetings")
     discard(of_sites, of_records)
     return out
 
@@ -86,19 +86,19 @@ def link_sites(sites: DataFrame, records: DataFrame, group: list[str]) -> DataFr
     r = materialise(r.join(ids, [*group, "site"], "left").join(only, group, "left"), "records")
 
     open_, classes = _classes(r.where("by_id is null and informative > 1"), group, ["text", "config", "chunks"], "r")
-    classes = materialise(classes.withColumn("words", _words(F.col("text"))), "record-classes")
+    classes = materialise(classes.withColumns({"words": _words(F.col("text")), "rid": F.monotonically_increasing_id()}), "record-classes")
     many = s.where("n_fields > 0").join(only.where("informative > 1").select(*group), group, "left_semi").withColumn("n_fields", F.least("n_fields", F.lit(8)))
     _, kinds = _classes(many, group, ["label", "kind", "active", "words", "chunks", "n_fields"], "s", F.min("place").alias("place"), (F.count(F.lit(1)) > 1).alias("twice"))
-    kinds = materialise(kinds, "site-classes")
+    kinds = materialise(kinds.withColumn("sid", F.monotonically_increasing_id()), "site-classes")  # stored, so that the short ids stay
     pairs = _meetings(kinds, classes, group)
-    near = pairs.join(kinds.drop(*group), "s").join(classes.select("r", F.col("text").alias("text_r"), "config", F.col("words").alias("words_r"), F.col("chunks").alias("chunks_r")), "r")
-    scored = near.select("r", "place", "twice", pair_score().alias("score"))
-    w = Window.partitionBy("r").orderBy(F.col("score").desc(), "place")  # the limit of two goes below the shuffle
-    best = scored.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("r").agg(F.min_by(F.struct("score", "place", "twice"), "k").alias("top"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
+    near = pairs.join(kinds.drop(*group), "sid").join(classes.select("rid", F.col("text").alias("text_r"), "config", F.col("words").alias("words_r"), F.col("chunks").alias("chunks_r")), "rid")
+    scored = near.select("rid", "place", "twice", pair_score().alias("score"))
+    w = Window.partitionBy("rid").orderBy(F.col("score").desc(), "place")  # the limit of two goes below the shuffle
+    best = scored.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("rid").agg(F.min_by(F.struct("score", "place", "twice"), "k").alias("top"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
     top = F.col("top.score")
     lead = top - F.when(F.col("top.twice"), top).otherwise(F.coalesce("second", F.lit(0.0)))
-    best = best.where((top >= LEAST) & ((lead >= MARGIN) | (top >= SURE))).select("r", F.col("top.place").alias("by_score"), top.alias("score"))
-    fuzzy = open_.select("record", "r").join(best, "r").select("record", "by_score", "score")
+    best = best.where((top >= LEAST) & ((lead >= MARGIN) | (top >= SURE))).select("rid", F.col("top.place").alias("by_score"), top.alias("score"))
+    fuzzy = open_.select("record", "r").join(classes.select("r", "rid").join(best, "rid"), "r").select("record", "by_score", "score")
 
     out = r.join(fuzzy, "record", "left")
     alone = F.col("informative") == 1
