@@ -1,94 +1,146 @@
 """Keyword extraction by random walks on word graphs, for all documents at once.
 
-A document's graph is a set of rows (document, word, word, weight); the walk is a fixed number of rounds, each one join of the edges with the
-ranks and one sum, over all documents together. The edges stay partitioned by (document, word) over all rounds, so a round shuffles only
-sums that were combined before. Keys are words of a document, so neither a long document nor a common word gathers in one task.
+A document's graph holds its own words only, and a document is one row; so the walks of a batch of rows are one walk on the union of their graphs, in
+arrays: numbered nodes, edges, and a fixed number of rounds of one sum by node. Spark cuts the words, deals the rows and chooses the best
+phrases; no edge and no rank is shuffled, and what a task holds is a batch cut to MOST_WORDS words, or one longer document. Keys are unique.
 
 There is no part-of-speech tagger here: a candidate word is one that is no stop word and has `least` letters or more.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 DAMPING = 0.85
+#: Words whose graphs are walked together; a longer document is walked alone.
+MOST_WORDS = 500_000
 
 
 def word_places(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], least: int = 3) -> DataFrame:
     """key, words: a document's words, lower-cased, in order; null at words that are no candidates."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
-    good = lambda w: (F.char_length(w) >= least) & ~F.array_contains(F.array(*map(F.lit, stop)), w)
-    return docs.where(F.col(text).isNotNull()).select(key, F.transform(words, lambda w: F.when(good(w), w)).alias("words"))
-
-
-def cooccurrence(places: DataFrame, key: str, window: int) -> DataFrame:
-    """key, a, b, weight: how often two different candidate words stand less than window places apart; both directions."""
-    near = lambda d: F.transform(F.sequence(F.lit(0), F.size("words") - 1 - d), lambda i: F.struct(F.get("words", i).alias("a"), F.get("words", i + d).alias("b")))
-    pairs = F.concat(*[F.when(F.size("words") > d, near(d)).otherwise(F.array().cast("array<struct<a:string,b:string>>")) for d in range(1, window)])
-    some = places.select(key, F.explode(F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] != p["b"]))).alias("p"))
-    one = some.groupBy(key, F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return one.select(key, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "weight").select(key, "e.a", "e.b", "weight")
-
+    good = lambda w: (F.char_length(w) >= least) & ~w.isin(*stop)
+    return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.transform(words, lambda w: F.when(good(w), w)).alias("words"))
 
-def nodes(places: DataFrame, key: str, by_position: bool) -> DataFrame:
-    """key, node, bias: the candidate words with the share of each document's restarts, equal or by the sum of 1 / place (from 1)."""
-    each = places.select(key, F.posexplode("words").alias("at", "node")).where("node is not null")
-    found = each.groupBy(key, "node").agg(F.sum(1.0 / (F.col("at") + 1)).alias("pull") if by_position else F.first(F.lit(1.0)).alias("pull"))
-    total = found.groupBy(key).agg(F.sum("pull").alias("total"))
-    return found.join(total, key).select(key, "node", (F.col("pull") / F.col("total")).alias("bias"))
 
-
-def walk(graph: DataFrame, restarts: DataFrame, key: str, rounds: int, damping: float = DAMPING) -> DataFrame:
-    """key, node, rank after rounds steps of a random walk on the weighted edges (key, a, b, weight) that restarts by bias.
+def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, bias: np.ndarray, rounds: int, damping: float = DAMPING) -> np.ndarray:
+    """Each node's rank after rounds steps of a random walk on weighted edges between a and b, each given once, that restarts by bias.
 
     A node's rank is (1 - damping) * bias and damping times what its neighbours pass on in proportion to their edges; nodes without edges keep their
     share of the restarts. Ranks start at the bias.
     """
-    out = graph.groupBy(key, "a").agg(F.sum("weight").alias("total"))
-    edges = graph.join(out, [key, "a"]).select(key, F.col("a").alias("node"), "b", (damping * F.col("weight") / F.col("total")).alias("share"))
-    edges = edges.repartition(key, "node").persist(StorageLevel.MEMORY_AND_DISK)
-    restarts = restarts.persist(StorageLevel.MEMORY_AND_DISK)
-    base = restarts.select(key, "node", ((1 - damping) * F.col("bias")).alias("rank"))
-    ranks = restarts.select(key, "node", F.col("bias").alias("rank"))
+    a, b, weight = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((weight, weight))
+    share = damping * weight / np.bincount(a, weight, len(bias))[a]
+    rank = bias
     for _ in range(rounds):
-        passed = edges.join(ranks, [key, "node"]).select(key, F.col("b").alias("node"), (F.col("share") * F.col("rank")).alias("rank"))
-        ranks = passed.unionAll(base).groupBy(key, "node").agg(F.sum("rank").alias("rank"))
-    return ranks
-
+        rank = (1 - damping) * bias + np.bincount(b, share * rank[a], len(bias))
+    return rank
 
-def occurrences(places: DataFrame, key: str, longest: int) -> DataFrame:
-    """key, phrase, words, at: every run of neighbouring candidate words, in pieces of at most `longest` from its start, with its first place."""
-    each = places.select(key, F.posexplode("words").alias("at", "w"))
-    gaps = F.sum(F.when(F.col("w").isNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("at"))
-    run = each.withColumn("run", gaps).where("w is not null")
-    place = F.row_number().over(Window.partitionBy(key, "run").orderBy("at")) - 1
-    piece = run.withColumn("piece", F.floor(place / longest)).groupBy(key, "run", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("x"))
-    return piece.select(key, F.array_join("x.w", " ").alias("phrase"), F.col("x.w").alias("words"), F.col("x.at")[0].alias("at"))
 
+def summed(a: np.ndarray, b: np.ndarray, weight: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of different nodes once, in either direction, with the sum of its weights."""
+    some = a != b
+    pair, own = np.unique(np.minimum(a, b)[some] * count + np.maximum(a, b)[some], return_inverse=True)
+    return pair // max(count, 1), pair % max(count, 1), np.bincount(own, weight[some], len(pair))
 
-def runs(places: DataFrame, key: str, longest: int) -> DataFrame:
-    """key, phrase, words: the different phrases of each document."""
-    return occurrences(places, key, longest).groupBy(key, "phrase").agg(F.first("words").alias("words"))
 
+class Places:
+    """The words of some documents in arrays: doc (row) and at (place in it) of each word, its code in dictionary (-1: no candidate), and its phrases.
 
-def best_phrases(phrases: DataFrame, ranks: DataFrame, key: str, count: int) -> DataFrame:
-    """key, phrase, score, place (from 1): a phrase's score is the sum of its words' ranks, to 9 digits (a hair above, so that exact halves go one way); equal scores in order of phrase."""
-    words = phrases.select(key, "phrase", F.explode("words").alias("node"))
-    scored = words.join(ranks, [key, "node"]).groupBy(key, "phrase").agg(F.round(F.sum("rank") + 1e-13, 9).alias("score"))
-    return top(scored, key, count)
-
+    A phrase is a run of neighbouring candidate words, in pieces of at most `longest` from its start; parts are its words' places in these arrays (-1: none).
+    """
 
-def top(scored: DataFrame, key: str, count: int) -> DataFrame:
+    def __init__(self, lists: pa.ListArray, longest: int) -> None:
+        self.doc = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        words = pc.list_flatten(lists).dictionary_encode()
+        self.dictionary, self.code = words.dictionary, words.indices.fill_null(-1).to_numpy().astype(np.int64)
+        every = np.arange(len(self.doc))
+        opens = np.ones(len(self.doc), dtype=bool)
+        opens[1:] = self.doc[1:] != self.doc[:-1]
+        self.at = every - np.maximum.accumulate(np.where(opens, every, 0))
+        good = self.code >= 0
+        opens[1:] |= ~good[:-1]
+        run = every - np.maximum.accumulate(np.where(opens | ~good, every, 0))
+        first = every[good & (run % longest == 0)]
+        self.parts = np.full((len(first), longest), -1)
+        for j in range(longest):
+            at = np.minimum(first + j, len(every) - 1)
+            same = good[at] & (run[at] - run[first] == j) & (first + j < len(every)) & (at - run[at] == first - run[first])
+            self.parts[same, j] = at[same]
+
+    def names(self, some: np.ndarray) -> pa.Array:
+        """The texts of some phrases."""
+        parts = self.parts[some]
+        columns = [self.dictionary.take(pa.array(self.code[parts[:, j]], mask=parts[:, j] < 0)) for j in range(parts.shape[1])]
+        return pc.binary_join_element_wise(*columns, " ", null_handling="skip")
+
+
+def phrase_ranks(p: Places, by_position: bool, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place in p.parts of each different phrase of a document, and the sum of its words' ranks; words that stand less than window places apart are linked by how often they do."""
+    good = p.code >= 0
+    keys, own = np.unique(p.doc[good] * len(p.dictionary) + p.code[good], return_inverse=True)
+    count, node = len(keys), np.full(len(p.code), -1)
+    node[good] = own
+    pull = np.bincount(own, 1.0 / (p.at[good] + 1), count) if by_position else np.ones(count)
+    of = keys // max(len(p.dictionary), 1)
+    near = [(node[:-d][m], node[d:][m]) for d in range(1, window) for m in [(p.doc[:-d] == p.doc[d:]) & good[:-d] & good[d:]]]
+    a, b = (np.concatenate([pair[k] for pair in near]) for k in (0, 1))
+    rank = walk(*summed(a, b, np.ones(len(a)), count), pull / np.bincount(of, pull)[of], rounds)
+    label, total = np.zeros(len(p.parts), dtype=np.int64), np.zeros(len(p.parts))
+    for part in p.parts.T:
+        label = np.unique(label * (count + 1) + np.where(part < 0, 0, node[part] + 1), return_inverse=True)[1]
+        total += np.where(part < 0, 0.0, rank[node[part]])
+    first = np.unique(label, return_index=True)[1]
+    return first, total[first]
+
+
+def topic_ranks(p: Places, stem: int, reach: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place in p.parts of each topic of a document, and the topic's rank."""
+    first, last = p.parts[:, 0], p.parts.max(1)
+    stems = pc.utf8_slice_codeunits(p.dictionary, 0, stem).dictionary_encode()
+    doc = p.doc[first]
+    keys, at, node = np.unique(doc * len(stems.dictionary) + stems.indices.to_numpy().astype(np.int64)[p.code[last]], return_index=True, return_inverse=True)
+    near = [(node[:-d][m], node[d:][m], 1.0 / (p.at[first[d:]] - p.at[first[:-d]])[m]) for d in range(1, reach + 1) for m in [doc[:-d] == doc[d:]]]
+    a, b, weight = (np.concatenate([pair[k] for pair in near]) for k in (0, 1, 2))
+    rank = walk(*summed(a, b, weight, len(keys)), 1.0 / np.bincount(doc[at])[doc[at]], rounds)
+    return at, rank
+
+
+def ranked(places: DataFrame, key: str, longest: int, rank: Callable[[Places], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """key, phrase, rank: rank() of the documents' words, in pieces of at most MOST_WORDS words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                upto = (ends[start - 1] if start else 0) + MOST_WORDS
+                end = max(start + 1, int(np.searchsorted(ends, upto, "right")))
+                piece = batch.slice(start, end - start)
+                start = end
+                p = Places(piece.column(1), longest)
+                if len(p.parts):
+                    first, got = rank(p)
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(p.doc[p.parts[first, 0]])), p.names(first), pa.array(got)], names=[key, "phrase", "rank"])
+
+    return places.mapInArrow(of, f"`{key}` {dict(places.dtypes)[key]}, phrase string, rank double")
+
+
+def top(found: DataFrame, key: str, count: int) -> DataFrame:
+    """key, phrase, score, place (from 1): the score is the rank to 9 digits (a hair above, so that exact halves go one way); equal scores in order of phrase."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "phrase"))
-    return scored.withColumn("place", place).where(F.col("place") <= count)
+    return found.select(key, "phrase", F.round(F.col("rank") + 1e-13, 9).alias("score")).withColumn("place", place).where(F.col("place") <= count)
 
 
 def rank_phrases(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], by_position: bool = True, window: int = 3, rounds: int = 10, longest: int = 3, count: int = 10) -> DataFrame:
-    """The best phrases of every document: with by_position restarts favour early words (PositionRank), else all words alike (SingleRank)."""
+    """The best phrases of every document: with by_position restarts favour early words (by the sum of 1 / place, from 1: PositionRank), else all words alike (SingleRank)."""
     places = word_places(docs, key, text, stop)
-    ranks = walk(cooccurrence(places, key, window), nodes(places, key, by_position), key, rounds)
-    return best_phrases(runs(places, key, longest), ranks, key, count)
+    return top(ranked(places, key, longest, lambda p: phrase_ranks(p, by_position, window, rounds)), key, count)
 
 
 def rank_topics(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], stem: int = 5, reach: int = 10, rounds: int = 10, longest: int = 3, count: int = 10) -> DataFrame:
@@ -99,14 +151,4 @@ def rank_topics(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], ste
     topics, and a topic is named by its first phrase.
     """
     places = word_places(docs, key, text, stop)
-    seen = occurrences(places, key, longest).withColumn("topic", F.substring(F.element_at("words", -1), 1, stem))
-    ordered = Window.partitionBy(key).orderBy("at")
-    follow = [F.struct(F.lead("topic", d).over(ordered).alias("topic"), F.lead("at", d).over(ordered).alias("at")) for d in range(1, reach + 1)]
-    near = seen.select(key, "topic", "at", F.array(*follow).alias("next")).select(key, "topic", "at", F.explode("next").alias("n")).where("n.topic is not null and n.topic <> topic")
-    one = near.groupBy(key, F.least("topic", "n.topic").alias("a"), F.greatest("topic", "n.topic").alias("b")).agg(F.sum(1.0 / (F.col("n.at") - F.col("at"))).alias("weight"))
-    both = one.select(key, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "weight").select(key, "e.a", "e.b", "weight")
-    topics = seen.groupBy(key, F.col("topic").alias("node")).agg(F.min_by("phrase", "at").alias("phrase"))
-    many = topics.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
-    ranks = walk(both, topics.join(many, key).select(key, "node", (1.0 / F.col("many")).alias("bias")), key, rounds)
-    named = topics.join(ranks, [key, "node"]).groupBy(key, "phrase").agg(F.round(F.max("rank") + 1e-13, 9).alias("score"))
-    return top(named, key, count)
+    return top(ranked(places, key, longest, lambda p: topic_ranks(p, stem, reach, rounds)), key, count)

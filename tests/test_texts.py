@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,24 @@ def test_topics_gather_phrases_by_head(spark):
     assert sum(r.score for r in got) == pytest.approx(1, abs=1e-6)
 
 
+def test_walks_shuffle_only_the_best_phrases(spark):
+    docs = spark.createDataFrame([(i, "graph walk and edge node walk") for i in range(30)], DOCS)
+    for got in (keywords.rank_phrases(docs, "id", "text", STOP), keywords.rank_topics(docs, "id", "text", STOP)):
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 1
+
+
+def test_pieces_of_a_batch_equal_each_document_alone():
+    lists = pa.array([["graph", None, "walk", "edge"], [], [None], ["edge", "edge", "graph", "walk", "node"], ["walk"]])
+    for rank in (lambda p: keywords.phrase_ranks(p, True, 3, 10), lambda p: keywords.topic_ranks(p, 5, 10, 10)):
+        def named(some):
+            p = keywords.Places(some, 3)
+            first, score = rank(p)
+            return [(p.doc[p.parts[k, 0]], n, pytest.approx(s)) for k, n, s in sorted(zip(first, p.names(first).to_pylist(), score.tolist()))]
+
+        alone = [(i, n, s) for i in (0, 3, 4) for _, n, s in named(lists.slice(i, 1))]
+        assert named(lists) == alone and [(i + 2, n, s) for i, n, s in named(lists.slice(2))] == [x for x in alone if x[0] > 1]
+
+
 def test_matches_have_places_and_windows(spark):
     rows = [(1, "ab12cd345"), (2, "\U0001f600é7\U0001f600"), (3, None), (4, "none"), (5, ""), (6, "9" * 5)]
     got = sorted(tuple(r) for r in all_matches(spark.createDataFrame(rows, DOCS), "text", r"\d+", 2, 1).drop("text").collect())
