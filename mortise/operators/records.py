@@ -73,22 +73,15 @@ def quota_selection(df: DataFrame, group: str, item: str, score: str, mode: str,
     rows = df.where(F.col(score).isNotNull()).withColumn("k_", F.row_number().over(pair)).where(F.col("k_") <= min(per_mode, per_family, total))
     rows = rows.select(group, item, F.col(score).alias("s_"), F.coalesce(F.col(mode).cast("string"), F.lit("")).alias("m_"), F.coalesce(F.col(family).cast("string"), F.lit("")).alias("f_"))
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        modes: dict[str, int] = {}
-        families: dict[str, int] = {}
-        taken = []
-        for at, (m, f) in enumerate(zip(frame["m_"], frame["f_"], strict=True)):
-            if modes.get(m, 0) < per_mode and families.get(f, 0) < per_family:
-                modes[m], families[f] = modes.get(m, 0) + 1, families.get(f, 0) + 1
-                taken.append(at)
-                if len(taken) == total:
-                    break
-        out = frame.iloc[taken][[group, item]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    schema = StructType([df.schema[group], df.schema[item], StructField("place", LongType())])
-    return rows.groupBy(group).applyInPandas(lambda frame: choose(frame.sort_values(["s_", item], ascending=[False, True], kind="stable")), schema)
+    best = F.array_sort(F.collect_list(F.struct(F.struct((-F.col("s_")).alias("low"), item).alias("o"), "m_", "f_")))
+    none = F.array().cast(f"array<struct<item:{df.schema[item].dataType.simpleString()},m:string,f:string>>")
+
+    def take(taken: Column, x: Column) -> Column:
+        open_ = (F.size(taken) < total) & (F.size(F.filter(taken, lambda t: t["m"] == x["m_"])) < per_mode) & (F.size(F.filter(taken, lambda t: t["f"] == x["f_"])) < per_family)
+        return F.when(open_, F.concat(taken, F.array(F.struct(x["o"][item].alias("item"), x["m_"].alias("m"), x["f_"].alias("f"))))).otherwise(taken)
+
+    chosen = rows.groupBy(group).agg(F.aggregate(best, none, take).alias("taken"))
+    return chosen.select(group, F.posexplode("taken").alias("at", "t")).select(group, F.col("t.item").alias(item), (F.col("at") + 1).cast("long").alias("place"))
 
 
 def text_contains(df: DataFrame, key: str, text: str, names: DataFrame, name: str, other: str = "Others") -> DataFrame:

@@ -77,6 +77,11 @@ def test_quotas(spark):
     assert got == sorted(want)
 
 
+def test_quotas_need_no_call_for_each_group(spark):
+    got = records.quota_selection(spark.createDataFrame([(1, 2, 3.0, "m", "f"), (2, 3, 3.0, "m", "f")], "g int, i int, s double, m string, f string"), "g", "i", "s", "m", "f", 8, 3, 2)
+    assert "Pandas" not in got._jdf.queryExecution().toString() and rows(got) == [(1, 2, 1), (2, 3, 1)]
+
+
 def test_budget_skips(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 4), (1, 4, 1), (1, 5, 1), (2, 1, 99), (3, 1, None)], "k int, i int, s int")
     assert rows(records.greedy_budget(df, "k", "i", "s", "i", 10)) == [(1, 1, 5), (1, 3, 9), (1, 4, 10)]
