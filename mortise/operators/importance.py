@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mortise.operators.folds import mixed
 from mortise.operators.ranks import numbered
+from mortise.session import materialise
+
+#: Values that meet their rows in one call.
+RANGE_ROWS = 500_000
 
 
 def permutation_importance(df: DataFrame, key: str, features: list[str], target: str, predict: Callable[[DataFrame], DataFrame], repeats: int = 10, seed: int = 0, count: int = 20) -> DataFrame:
@@ -15,15 +23,47 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
 
     predict adds a column `prediction` to a frame with the features. All features and repeats are one job: in repeat r, the row at place i in
     order of the key takes the feature's value from the row at place i in an order by a hash of (seed, r, feature, key). Both places are exact
-    and depend on nothing but keys (which must be unique), so partitions don't matter, and the join is by (repeat, feature, place), so nothing gathers. importance
+    and depend on nothing but keys (which must be unique), so partitions don't matter. importance
     is the mean over repeats of error less base error, to six digits, spread its population deviation; the `count` most important features are given.
+
+    Hashes are dealt to equal ranges of about RANGE_ROWS values, so values are shuffled once, and a range of rows meets the ranges of all shuffles that
+    hold its places. Where a range begins in each shuffle is known from counts.
     """
     names = [*features, target]
-    base = numbered(df.select(key, *names), [F.col(key)])
-    each = df.select(F.col(key).alias("k_"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("x"))
-    each = each.select("k_", "x.feature", "x.value", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    dealt = numbered(each, [mixed(seed, F.col("repeat"), F.col("feature"), F.col("k_")), F.col("k_")], ["repeat", "feature"]).select("repeat", "feature", "place", "value")
-    changed = base.join(dealt, "place").select("repeat", "feature", F.col(target), *(F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f)).alias(f) for f in features))
+    base = numbered(df.select(key, *(F.col(f).cast("double").alias(f) for f in features), target), [F.col(key)])
+    tries = len(features) * repeats
+    n = base.count()
+    bits = max(0, math.ceil(math.log2(max(1, n * tries / RANGE_ROWS))))
+    each = df.select(F.col(key).alias("k_"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)))).alias("x"))
+    each = each.select("k_", "x.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    hashed = each.select((F.col("i") * repeats + F.col("repeat")).alias("try"), mixed(seed, F.col("repeat"), F.col("feature"), F.col("k_")).alias("h"), "value")
+    number = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
+    dealt = hashed.select("try", number(1).alias("high"), number(16).alias("low"), "value").withColumn("range", F.shiftright("high", 60 - bits))
+    many = dealt.groupBy("range", "try").agg(F.count(F.lit(1)).alias("many"))
+    start = F.sum("many").over(Window.partitionBy("try").orderBy("range")) - F.col("many")
+    starts = materialise(many.withColumn("start", start), "starts")  # a row for each range and shuffle
+    heads = starts.select("try", F.lit(-1).cast("long").alias("high"), F.lit(-1).cast("long").alias("low"), F.col("start").cast("double").alias("value"), "range")
+    size = max(1, n >> bits)
+    spans = starts.groupBy("range").agg(F.min("start").alias("from"), F.max(F.col("start") + F.col("many")).alias("to"))
+    cells = spans.select("range", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((F.col("to") - 1) / size))).alias("cell"))
+    held = base.withColumn("cell", F.floor(F.col("place") / size)).join(cells, "cell").where((F.col("place") >= F.col("from")) & (F.col("place") < F.col("to"))).select("range", "place", *names)
+    kinds = "try int, " + ", ".join(f"`{c}` {t}" for c, t in held.select(*names).dtypes)
+
+    def meet(values: pa.Table, rows: pa.Table) -> pa.Table:
+        values = values.take(pa.array(np.lexsort([values.column(c).to_numpy() for c in ("low", "high", "try")])))
+        rows = rows.take(pa.array(np.argsort(rows.column("place").to_numpy())))  # without gaps
+        own, first = values.column("try").to_numpy(), values.column("high").to_numpy() < 0
+        at = np.flatnonzero(first)
+        begin = values.column("value").to_numpy()[at].astype(np.int64) - at - 1
+        place = (begin[np.cumsum(first) - 1] + np.arange(len(own)))[~first]
+        values = values.filter(pa.array(~first))
+        own = own[~first]
+        rows = rows.take(pa.array(place - rows.column("place")[0].as_py()))
+        changed = [pc.if_else(pa.array(own // repeats == i), values.column("value"), rows.column(f)) for i, f in enumerate(features)]
+        return pa.table([pa.array(own, pa.int32()), *changed, rows.column(target)], names=["try", *names])
+
+    met = dealt.unionByName(heads).groupBy("range").cogroup(held.groupBy("range")).applyInArrow(meet, kinds)
+    changed = met.withColumns({"feature": F.element_at(F.array(*map(F.lit, features)), (F.floor(F.col("try") / repeats) + 1).cast("int")), "repeat": F.col("try") % repeats})
     error = F.avg(F.abs(F.col("prediction") - F.col(target)))
     plain = predict(df.select(*names)).agg(error.alias("base_mae"))
     one = predict(changed).groupBy("feature", "repeat").agg(error.alias("mae"))

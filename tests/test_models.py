@@ -1,5 +1,6 @@
 """Places, folds, importance, selection, models and lattice choices against plain versions and known answers."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -87,6 +88,21 @@ def test_importance_is_of_what_the_prediction_uses(spark):
     assert got[0].mae == pytest.approx(5 * np.abs(a[:, None] - a[None]).mean(), rel=0.05)
 
 
+def test_permutation_importance_over_many_ranges_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(importance, "RANGE_ROWS", 50)
+    r = random.Random(4)
+    rows = [(f"k{i}", r.random(), r.choice([1.0, 2.0]), r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, y double").repartition(5)
+    got = {x.feature: x for x in importance.permutation_importance(df, "id", ["a", "b"], "y", lambda x: x.withColumn("prediction", F.col("a") * F.col("b")), repeats=3, seed=5).collect()}
+    placed = sorted(rows)
+    for i, f in enumerate("ab"):
+        each = []
+        for k in range(3):
+            dealt = sorted(rows, key=lambda x: hashlib.md5(f"5:{k}:{f}:{x[0]}".encode()).hexdigest())
+            each.append(np.mean([abs((d[1] if f == "a" else p[1]) * (d[2] if f == "b" else p[2]) - p[3]) for p, d in zip(placed, dealt, strict=True)]))
+        assert (got[f].mae, got[f].spread) == pytest.approx((np.mean(each), np.std(each)))
+
+
 def plain_diverse(rows, k):
     """rows: (id, base, disagreement), None last."""
     low = lambda x: -x[2] if x[2] is not None else math.inf
