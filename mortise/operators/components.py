@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.base import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+#: Models that are fitted at a time.
+FITS = 4
+
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
@@ -164,19 +170,24 @@ def grid(seed: int = 0) -> dict[str, Estimated | Kernel]:
 def cross_validated(df: DataFrame, features: list[str], target: str, fold: str, models: dict[str, Estimated | Kernel]) -> DataFrame:
     """model, fold, n, r2, mae for each model and fold, fitted on the other folds; rows with a null feature or target take no part.
 
+    The rows are dealt to as many parts as there are cores: what is stored of a join may else be a single part, and each of hundreds of passes one task.
+    FITS models are fitted at a time, as Spark's own cross-validation does.
     r2 is 1 - squared error / squared deviation from the held-out mean, null where that is 0.
     """
-    known = df.select(*(F.col(c).cast("double").alias(c) for c in [*features, target]), fold).dropna(subset=[*features, target]).persist()
+    spark = df.sparkSession
+    known = df.select(*(F.col(c).cast("double").alias(c) for c in [*features, target]), fold).dropna(subset=[*features, target]).repartition(spark.sparkContext.defaultParallelism).persist()
     numbers = [r[0] for r in known.select(fold).distinct().orderBy(fold).collect()]  # folds, a parameter
-    out = None
-    for name, model in models.items():
-        for k in numbers:
-            predict = model.fit(known.where(F.col(fold) != k), features, target)
-            e = F.col("prediction") - F.col(target)
-            got = predict(known.where(F.col(fold) == k)).agg(F.count(F.lit(1)).alias("n"), (1 - F.sum(e * e) / F.nullif(F.var_pop(target) * F.count(target), F.lit(0.0))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
-            got = got.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "n", "r2", "mae")
-            out = got if out is None else out.unionByName(got)
-    return out
+
+    def fitted(case: tuple[str, object]) -> DataFrame:
+        name, k = case
+        predict = models[name].fit(known.where(F.col(fold) != k), features, target)
+        e = F.col("prediction") - F.col(target)
+        got = predict(known.where(F.col(fold) == k)).agg(F.count(F.lit(1)).alias("n"), (1 - F.sum(e * e) / F.nullif(F.var_pop(target) * F.count(target), F.lit(0.0))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
+        return got.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "n", "r2", "mae")
+
+    with ThreadPool(FITS) as pool:
+        scores = pool.map(inheritable_thread_target(spark)(fitted), [(name, k) for name in models for k in numbers], 1)
+    return reduce(DataFrame.unionByName, scores) if scores else None
 
 
 def chosen(scores: DataFrame) -> str | None:

@@ -103,6 +103,19 @@ def test_permutation_importance_over_many_ranges_equals_plain(spark, monkeypatch
         assert (got[f].mae, got[f].spread) == pytest.approx((np.mean(each), np.std(each)))
 
 
+def test_models_are_fitted_on_as_many_parts_as_cores(spark):
+    parts = []
+
+    class Zero:
+        def fit(self, df, features, target):
+            parts.append(df.rdd.getNumPartitions())
+            return lambda other: other.withColumn("prediction", F.lit(0.0))
+
+    df = spark.createDataFrame([(float(i), float(i), i % 2) for i in range(40)], "x double, y double, fold int").coalesce(1)
+    got = components.cross_validated(df, ["x"], "y", "fold", {"zero": Zero()}).collect()
+    assert sorted((x.fold, x.n, x.mae) for x in got) == [(0, 20, 19.0), (1, 20, 20.0)] and set(parts) == {spark.sparkContext.defaultParallelism}
+
+
 def plain_diverse(rows, k):
     """rows: (id, base, disagreement), None last."""
     low = lambda x: -x[2] if x[2] is not None else math.inf
