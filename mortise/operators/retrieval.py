@@ -8,18 +8,16 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mortise.operators.relations import each_with, top_of
+from mortise.operators.relations import nearest, top_of
 
 
 def knn_mean(queries: DataFrame, rows: DataFrame, key: str, vector: str, value: str, k: int = 5) -> DataFrame:
     """key, estimate, distance: for each query the inverse-distance weighted mean of value over its k nearest other rows (Euclidean, ties by key) and their mean distance.
 
-    Queries are held against all rows, in blocks where there are many; of each query only the k best rows of a partition reach the last sort.
+    Queries are held against all rows, in blocks; of each query only the best rows of a block reach the last sort.
     """
-    asked = queries.select(F.col(key).alias("q_id"), F.col(vector).alias("q_"))
-    square = F.aggregate(F.zip_with(F.col(vector), F.col("q_"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = each_with(rows.where(F.col(value).isNotNull()), asked, key, "q_id").where(F.col(key) != F.col("q_id"))
-    near = top_of(pairs.select("q_id", key, F.col(value).alias("v_"), F.round(F.sqrt(square), 9).alias("d_")), ["q_id"], [F.col("d_"), F.col(key)], k)
+    pairs = nearest(rows.where(F.col(value).isNotNull()), queries, key, vector, k, cosine=False, carry=(value,))
+    near = top_of(pairs.select("q_id", key, F.col(value).alias("v_"), F.round("score", 9).alias("d_")), ["q_id"], [F.col("d_").asc_nulls_last(), F.col(key)], k)
     w = 1.0 / (F.col("d_") + 1e-6)
     return near.groupBy(F.col("q_id").alias(key)).agg((F.sum(w * F.col("v_")) / F.sum(w)).alias("estimate"), F.avg("d_").alias("distance"))
 
