@@ -42,14 +42,35 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+#: Rows of a block whose pairs are made together; those of larger blocks are dealt by key.
+PAIR_ROWS = 1_000
+
+
 def pair_scores(rows: DataFrame, key: str, block: list[str], tokens: str, same: dict[str, float], weight: float) -> DataFrame:
-    """Pairs (a, b) with a < b of rows in one block, with score = weight * token overlap + the weights of equal columns, rounded to 4. Blocks are to be small: their pairs are made."""
-    side = lambda s: rows.select(*block, F.col(key).alias(s), F.split(tokens, " ").alias(f"t{s}"), *(F.col(c).alias(f"{c}_{s}") for c in same))
-    both = side("a").join(side("b"), block).where("a < b")
-    score = weight * token_overlap(F.col("ta"), F.col("tb"))
-    for c, w in same.items():
-        score = score + F.when(F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), w).otherwise(0.0)
-    return both.select("a", "b", F.round(score, 4).alias("score"))
+    """Pairs (a, b) with a < b of rows in one block, with score = weight * token overlap + the weights of equal columns, rounded to 4.
+
+    Every pair is a row of the result, so it grows with the square of a block. Rows that agree in all that is scored are one class: a pair of classes is
+    scored once and then gives its pairs of rows. A block is dealt by key to parts of PAIR_ROWS rows that meet each other, so no task holds more than two.
+    """
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    own = rows.where(F.col(key).isNotNull()).select(*block, F.col(key).alias("key_"), F.col(tokens).alias("t_"), *(F.col(c).alias(f"s{k}_") for k, c in enumerate(same)))
+    of = ["t_", *(f"s{k}_" for k in range(len(same)))]
+    parts = own.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("parts_"))
+    dealt = own.join(parts, block).withColumn("part_", F.pmod(F.xxhash64("key_"), F.col("parts_")).cast("int"))
+    classes = dealt.repartition(spread, *block, "part_").groupBy(*block, "part_", "parts_", *of).agg(F.collect_list("key_").alias("keys"))
+    groups = classes.groupBy(*block, "part_", "parts_").agg(F.collect_list(F.struct(F.split("t_", " ").alias("t"), *of[1:], "keys")).alias("cs"))
+    large = groups.where("parts_ > 1")
+    left = large.select(*block, F.col("cs").alias("left"), F.col("part_").alias("i_"), F.explode(F.expr("filter(sequence(0, parts_ - 1), j -> j > part_)")).alias("j_"))
+    right = large.select(*block, F.col("cs").alias("right"), F.col("part_").alias("j_"), F.explode(F.expr("filter(sequence(0, parts_ - 1), i -> i < part_)")).alias("i_"))
+    across = left.join(right.repartition(spread, *block, "i_", "j_"), [*block, "i_", "j_"]).select(F.lit(False).alias("within"), "left", "right")
+    met = groups.select(F.lit(True).alias("within"), F.col("cs").alias("left"), F.col("cs").alias("right")).unionByName(across)
+    met = met.select("within", "right", F.posexplode("left").alias("i", "l")).select("within", "i", "l", F.posexplode("right").alias("j", "r")).where("not within or i <= j")
+    score = weight * token_overlap(F.col("l.t"), F.col("r.t"))
+    for k, w in enumerate(same.values()):
+        score = score + F.when(F.col(f"l.s{k}_").eqNullSafe(F.col(f"r.s{k}_")), w).otherwise(0.0)
+    scored = met.select(F.expr("within and i = j").alias("one"), F.col("l.keys").alias("left"), F.col("r.keys").alias("right"), F.round(score, 4).alias("score"))
+    each = scored.select("one", "score", "right", F.explode("left").alias("x")).select("one", "score", "x", F.explode("right").alias("y"))
+    return each.where("x < y or (x > y and not one)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 def merge_canonical(rows: DataFrame, keys: list[str], best: list[Column], keep: list[str], lists: list[str]) -> DataFrame:
