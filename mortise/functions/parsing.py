@@ -14,7 +14,7 @@ NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 def normal_space(text: Column) -> Column:
     """Dashes to '-', runs of white space to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(text, "‐‑‒–—−", "------"), r"[ \t\n\r\f\x0b]+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, "‐‑‒–—−", "------"), r"[ \t\n\r\f\x0b]{2,}|[\t\n\r\f\x0b]", " "))  # a single blank is left as it is
 
 
 def clean_null(text: Column) -> Column:
@@ -40,7 +40,7 @@ def clip(text: Column, n: int, mark: str = " ...[TRUNCATED]") -> Column:
 
 def number(text: Column) -> Column:
     """The first number, with a Unicode minus and commas between thousands allowed."""
-    plain = F.regexp_replace(F.translate(text, "−", "-"), r"(?<=[0-9]),(?=[0-9]{3})", "")
+    plain = F.regexp_replace(F.translate(text, "−", "-"), r",(?<=[0-9],)(?=[0-9]{3})", "")
     return F.nullif(F.regexp_extract(plain, NUMBER, 0), F.lit("")).try_cast("double")
 
 
@@ -66,10 +66,19 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], other: str) -> Co
     return F.coalesce(out, F.lit(other))
 
 
+def numbers_of(text: Column) -> Column:
+    """All numbers of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: x.try_cast("double"))
+
+
+def number_among(value: Column, numbers: Column, relative: float = 0.005, absolute: float = 0.015) -> Column:
+    """Whether one of numbers is within max(absolute, relative * |value|) of value; null values are not supported."""
+    return F.coalesce(F.exists(numbers, lambda x: F.abs(x - value) <= F.greatest(F.lit(absolute), relative * F.abs(value))), F.lit(False))
+
+
 def number_supported(value: Column, evidence: Column, relative: float = 0.005, absolute: float = 0.015) -> Column:
     """Whether evidence has a number within max(absolute, relative * |value|) of value; null values are not supported."""
-    near = lambda x: F.abs(x.try_cast("double") - value) <= F.greatest(F.lit(absolute), relative * F.abs(value))
-    return F.coalesce(F.exists(F.regexp_extract_all(evidence, F.lit(NUMBER), F.lit(0)), near), F.lit(False))
+    return number_among(value, numbers_of(evidence), relative, absolute)
 
 
 def formula(text: Column) -> Column:

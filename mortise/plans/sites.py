@@ -46,7 +46,7 @@ def record_fills(spark: SparkSession, sf: str) -> DataFrame:
 def field_support(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of every document held against its text: its first number, its stated length, source and language."""
     d = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("length"), F.lit("characters").alias("length_unit"), pa.number(F.col("text")).alias("amount"))
-    e = F.col("text")
+    d, e = su.with_evidence(d, "text")
     d = d.withColumns({"status": su.field_status(["amount", "length"], ["source", "lang"], e), "score": su.match_score([F.col("source"), F.col("lang"), F.lit("unknown"), F.substring("text", 1, 12), F.lit("model of the surface")], e)} | su.drop_unsupported(["amount", "length"], {"length": "length_unit"}, e))
     states = [F.col("status")[f].alias(f"{f}_status") for f in ("source", "lang")] + [F.col("number_status")[f].alias(f"{f}_status") for f in ("amount", "length")]
     return d.select("doc_id", F.round("amount", 4).alias("amount"), "length", "length_unit", *states, su.status_count(F.col("status"), "supported").cast("long").alias("n_supported"), (su.status_count(F.col("number_status"), "dropped") > 0).alias("any_dropped"), "score")

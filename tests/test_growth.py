@@ -3,8 +3,11 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from mortise.functions import parsing, support
 from mortise.operators import linking
+from mortise.registry import queries
 
 
 def rows(df):
@@ -34,3 +37,15 @@ def test_pair_scores_by_classes(spark, monkeypatch):
     scored = next(i for i, line in enumerate(lines) if "array_intersect" in line)
     assert sum("Generate explode" in line for line in lines[:scored]) == 2  # rows come from a class pair that is scored already
     assert plan.count() == 600 * 599 // 2
+
+
+def test_field_support_reads_a_text_once(spark):
+    df = spark.createDataFrame([("Bridge  site", 'The "BRIDGE"‐site\t at 1.26 eV', 1.26), ("top", None, 2.0), (None, "12abc +x-y", 12.0), (" ", "top", None), ("top", "to-p \n top+", 1.0)], "t string, e string, v double")
+    held, e = support.with_evidence(df, "e")
+    of = lambda e: [support.field_status(["v"], ["t"], e), support.match_score([F.col("t"), F.lit("x-y")], e), support.text_supported(F.col("t"), e, 2)]
+    got = held.select(*of(e)).collect()
+    assert got == df.select(*of(F.col("e"))).collect()
+    assert [r[0]["t"] for r in got] == ["supported", "supported", "missing", "weak_or_unsupported", "supported"]
+    assert [r[1] for r in got] == [0.25, 0.0, 1.0, 0.0, 0.5]
+    plan = queries()["field_support"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(parsing.NUMBER + ", 0) AS") + plan.count("regexp_extract_all(text") <= 2  # amount, and the numbers of the evidence
