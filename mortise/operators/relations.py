@@ -37,6 +37,15 @@ def dense_series(df: DataFrame, year: str, measures: dict[str, Column]) -> DataF
     return span.join(own, year, "left").na.fill(0, list(measures))
 
 
+#: Rows that one task joins, groups and sorts.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, count: int, *keys: str) -> DataFrame:
+    """df by hash of the keys in as many parts as count rows ask for, so that a task's memory does not grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_ROWS)), *keys)
+
+
 def best_match(pairs: DataFrame, left: str, right: str, score: str, least: float = 0.26, margin: float = 0.04, sure: float = 0.45) -> DataFrame:
     """For each left row the best right row: its score must be least or more, and lead the second by margin or be sure or more. Confidence is the score, clipped to .55 and .78."""
     w = Window.partitionBy(left).orderBy(F.col(score).desc(), F.col(right))

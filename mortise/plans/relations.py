@@ -61,8 +61,10 @@ def prefix_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_match_margin(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
-    pairs = l.select("l_orderkey", F.col("l_linenumber").alias("line"), "l_partkey", F.round(F.col("l_extendedprice") / F.col("o_totalprice"), 6).alias("score"))
+    lines, orders = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    n = lines.count()
+    l = rl.dealt(lines, n, "l_orderkey").join(rl.dealt(orders, n, "l_orderkey"), "l_orderkey")
+    pairs = l.select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") / F.col("o_totalprice"), 6).alias("score"))
     pairs = pairs.groupBy("l_orderkey", "l_partkey").agg(F.max("score").alias("score"))
     return rl.best_match(pairs, "l_orderkey", "l_partkey", "score")
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mortise.functions import parsing, support
-from mortise.operators import linking
+from mortise.operators import linking, relations
 from mortise.registry import queries
 
 
@@ -49,3 +49,12 @@ def test_field_support_reads_a_text_once(spark):
     assert [r[1] for r in got] == [0.25, 0.0, 1.0, 0.0, 0.5]
     plan = queries()["field_support"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(parsing.NUMBER + ", 0) AS") + plan.count("regexp_extract_all(text") <= 2  # amount, and the numbers of the evidence
+
+
+def test_best_match_margin_deals_rows(spark, monkeypatch):
+    run = lambda: queries()["best_match_margin"](spark, "/root/testdata/sf0.001")
+    whole = rows(run())
+    monkeypatch.setattr(relations, "TASK_ROWS", 500, raising=False)
+    few = run()
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert rows(few) == whole and few.rdd.getNumPartitions() == -(-lines // 500)
