@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+def by_key(df: DataFrame, key: str, parts: Column, join: Callable[[Column], Column]) -> DataFrame:
+    """key, parts: one row for each key that is set, of rows whose parts are not null. Only if a key repeats are rows gathered: join makes one of its parts' array; else nothing but the keys is shuffled."""
+    own = df.select(key, parts.alias("parts")).where(F.col(key).isNotNull())
+    twice = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return own.groupBy(key).agg(join(F.collect_list("parts")).alias("parts")) if twice else own.where("parts is not null")
+
+
+def _phrases(text: str, stop: frozenset[str], longest: int, k: int) -> list[tuple[str, float]]:
+    """Phrases of a text of words, blanks and bars with their scores; those that cannot be among the k best are left out."""
+    counts, run = Counter(), []
+    for w in (*text.split(" "), "|"):
+        if w == "|" or w in stop:
+            if 0 < len(run) <= longest:
+                counts[tuple(run)] += 1
+            run = []
+        elif w:
+            run.append(w)
+    degree, often = Counter(), Counter()
+    for ws, c in counts.items():
+        for w in ws:
+            degree[w] += c * len(ws)
+            often[w] += c
+    rate = {w: d / often[w] for w, d in degree.items()}
+    scored = [(" ".join(ws), sum(rate[w] for w in ws)) for ws in counts]
+    if len(scored) <= k:
+        return scored
+    last = heapq.nlargest(k, (s for _, s in scored))[-1] - 2e-6  # scores that are equal once rounded are ordered by phrase
+    return [x for x in scored if x[1] >= last]
+
+
 def rake(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...], longest: int = 4, k: int = 30) -> DataFrame:
     """key, phrase, score, place: the k best phrases of each text by rapid keyword extraction.
 
     Phrases are runs of words between stop words and punctuation, of longest words at most. A word's degree is the number of words in
     the phrases it is in, over its frequency; a phrase scores the sum over its words. Ties go by phrase. Null and empty texts have none.
+    A text's words are counted in the task that holds its row; the texts of a key that repeats count as one.
     """
-    parted = F.transform(F.split(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N} ]+", " | "), " +"), lambda w: F.when(w.isin(*stop_words), "|").otherwise(w))
-    pieces = F.split(F.array_join(parted, " "), r"\|")
-    words = lambda p: F.filter(F.split(p, " +"), lambda w: w != "")
-    phrases = df.select(key, F.explode(pieces).alias("p")).select(key, words(F.col("p")).alias("ws")).where(F.size("ws").between(1, longest))
-    counted = phrases.groupBy(key, "ws").agg(F.count(F.lit(1)).alias("c"))
-    each = counted.select(key, "ws", "c", F.explode("ws").alias("w"))
-    rates = each.groupBy(key, "w").agg((F.sum(F.col("c") * F.size("ws")) / F.sum("c")).alias("rate"))
-    scored = each.join(rates, [key, "w"]).groupBy(key, "ws").agg(F.sum("rate").alias("score"))
-    scored = scored.select(key, F.array_join("ws", " ").alias("phrase"), F.round("score", 6).alias("score"))
-    best = Window.partitionBy(key).orderBy(F.col("score").desc(), "phrase")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    stop = frozenset(stop_words)
+    texts = by_key(df, key, F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N} ]+", " | "), lambda c: F.array_join(c, " | "))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [_phrases(t, stop, longest, k) for t in batch.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+            found = pa.StructArray.from_arrays([pa.array([p for x in each for p, _ in x], pa.string()), pa.array([s for x in each for _, s in x], pa.float64())], names=["phrase", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, found)], names=[key, "found"])
+
+    scored = texts.mapInArrow(of, f"`{key}` {dict(df.dtypes)[key]}, found array<struct<phrase: string, score: double>>")
+    order = F.transform("found", lambda x: F.struct((-F.round(x["score"], 6)).alias("low"), x["phrase"].alias("phrase")))
+    best = scored.select(key, F.posexplode(F.slice(F.array_sort(order), 1, k)).alias("at", "x"))
+    return best.select(key, F.col("x.phrase").alias("phrase"), (-F.col("x.low")).alias("score"), (F.col("at") + 1).alias("place"))
 
 
 def merge_records(df: DataFrame, keys: list[str], fields: list[str], strength: str, order: str) -> DataFrame:

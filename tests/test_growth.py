@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mortise.functions import parsing, support
-from mortise.operators import linking, relations
+from mortise.operators import linking, records, relations
 from mortise.registry import queries
 
 
@@ -58,3 +58,22 @@ def test_best_match_margin_deals_rows(spark, monkeypatch):
     few = run()
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert rows(few) == whole and few.rdd.getNumPartitions() == -(-lines // 500)
+
+
+def shuffles(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Initial Plan")[0].count("Exchange")
+
+
+def test_rake_in_place(spark):
+    data = [("a", "Red ring, the red bolt of the blue ring ring."), ("b", None), ("c", ""), (None, "lone words"), ("d", "one two three four five, six"), ("e", " ".join(f"w{i:03}," for i in range(50)))]
+    df = spark.createDataFrame(data, "k string, t string")
+    got = records.rake(df, "k", "t", ("the", "of"))
+    assert rows(got.select("k", "place", "phrase", "score")) == sorted(
+        [("a", 1, "blue ring ring", 8.333333), ("a", 2, "red ring", 4.666667), ("a", 3, "red bolt", 4.0), ("d", 1, "six", 1.0), *(("e", i + 1, f"w{i:03}", 1.0) for i in range(30))], key=str)
+    assert got.dtypes == [("k", "string"), ("phrase", "string"), ("score", "double"), ("place", "int")]
+    assert shuffles(got) == 0
+    more = df.union(spark.createDataFrame([("a", "green ring"), ("a", None)], "k string, t string"))  # the texts of a key count as one
+    top = [r for r in rows(records.rake(more, "k", "t", ("the", "of")).select("k", "place", "phrase", "score")) if r[0] == "a"]
+    assert top == [("a", 1, "blue ring ring", 8.0), ("a", 2, "green ring", 4.5), ("a", 3, "red ring", 4.5), ("a", 4, "red bolt", 4.0)]
