@@ -14,10 +14,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 
 def by_key(df: DataFrame, key: str, parts: Column, join: Callable[[Column], Column]) -> DataFrame:
-    """key, parts: one row for each key that is set, of rows whose parts are not null. Only if a key repeats are rows gathered: join makes one of its parts' array; else nothing but the keys is shuffled."""
-    own = df.select(key, parts.alias("parts")).where(F.col(key).isNotNull())
-    twice = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return own.groupBy(key).agg(join(F.collect_list("parts")).alias("parts")) if twice else own.where("parts is not null")
+    """key, parts: one row for each key (null is one), of rows whose parts are not null. Only if a key repeats are rows gathered: join makes one of its parts' array; else nothing but the keys is shuffled."""
+    own = df.select(key, parts.alias("parts")).where("parts is not null")
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return own.groupBy(key).agg(join(F.collect_list("parts")).alias("parts")) if twice else own
 
 
 def _phrases(text: str, stop: frozenset[str], longest: int, k: int) -> list[tuple[str, float]]:
@@ -51,7 +51,7 @@ def rake(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...], longes
     A text's words are counted in the task that holds its row; the texts of a key that repeats count as one.
     """
     stop = frozenset(stop_words)
-    texts = by_key(df, key, F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N} ]+", " | "), lambda c: F.array_join(c, " | "))
+    texts = by_key(df.where(F.col(key).isNotNull()), key, F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N} ]+", " | "), lambda c: F.array_join(c, " | "))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

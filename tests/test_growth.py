@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mortise.functions import parsing, support
-from mortise.operators import linking, records, relations
+from mortise.operators import linking, records, relations, texts
 from mortise.registry import queries
 
 
@@ -77,3 +77,34 @@ def test_rake_in_place(spark):
     more = df.union(spark.createDataFrame([("a", "green ring"), ("a", None)], "k string, t string"))  # the texts of a key count as one
     top = [r for r in rows(records.rake(more, "k", "t", ("the", "of")).select("k", "place", "phrase", "score")) if r[0] == "a"]
     assert top == [("a", 1, "blue ring ring", 8.0), ("a", 2, "green ring", 4.5), ("a", 3, "red ring", 4.5), ("a", 4, "red bolt", 4.0)]
+
+
+def test_tfidf_shuffles_rare_words_only(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_tfidf(spark, monkeypatch)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def check_tfidf(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i % 50 if i else None, " ".join(words[int(j)] for j in r.zipf(1.5, 12) if j < 40) if i % 11 else None) for i in range(60)]
+    for some in (data[1:50], data):  # keys that do not repeat, and some that do
+        df = spark.createDataFrame(some, "k long, t string")
+        own = {}
+        for k, t in some:
+            own.setdefault(k, []).extend(w for w in (t or "").split(" ") if len(w) > 1)
+        weight = {w: np.log((1 + len(some)) / (1 + sum(w in ws for ws in own.values()))) + 1 for w in words}
+        asked = {w: weight[w] for w in ("w1", "w2", "w9") if any(w in ws for ws in own.values())}
+        norm = np.sqrt(sum(x**2 for x in asked.values()))
+        want = [(k, sum(ws.count(w) * weight[w] * x / norm for w, x in asked.items()) / np.sqrt(sum((ws.count(w) * weight[w]) ** 2 for w in set(ws)))) for k, ws in own.items() if set(ws) & set(asked)]
+        for size in (200_000, 5):
+            monkeypatch.setattr(texts, "HELD_WORDS", size, raising=False)
+            found = texts.tfidf_cosine(df, "k", "t", "w1 w2 w9 other")
+            got = rows(found.select("k", F.round("cosine", 6)))
+            assert got == sorted(((k, round(float(x), 6)) for k, x in want), key=str)
+            by_word = found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(w")
+            assert (by_word == 0) == (size > 40)
