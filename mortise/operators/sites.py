@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mortise.functions.parsing import clean_null, normal_space
-from mortise.session import discard, materialise
+from mortise.session import materialise
 
 # Words that say nothing about a site; weights in hundredths and their caps; bounds of a link.
 COMMON = ("site", "surface", "adsorption", "adsorbed", "configuration", "model", "the", "and", "for")
@@ -20,8 +20,8 @@ SHARED_WORD, SHARED_WORD_CAP, SHARED_CHUNK, SHARED_CHUNK_CAP, FIELD, FIELD_CAP =
 ACTIVE, LABEL, KIND, ACTIVE_IN_CONFIG = 20, 25, 15, 15
 LEAST, MARGIN, SURE, LOW, HIGH, ONLY = 0.26, 0.04, 0.45, 0.55, 0.78, 0.82
 
-#: Records of one word, chunk or phrase of a group that meet its sites in one task; more are dealt to blocks.
-BLOCK = 5_000
+#: Classes of records, and of sites, of a group that meet in one task; more are dealt to blocks.
+BLOCK = 1_000
 
 
 def plain(text: Column) -> Column:
@@ -37,33 +37,40 @@ def _chunks() -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.coalesce("chunks", F.array().cast("array<string>")), lambda c: c.isNotNull())))
 
 
-def _keys(words: Column, chunks: Column) -> Column:
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.transform(chunks, lambda c: F.concat(F.lit("c:"), c)))
-
-
-def _classes(rows: DataFrame, group: list[str], features: list[str], name: str, *more: Column) -> DataFrame:
+def _classes(rows: DataFrame, group: list[str], features: list[str], name: str, *more: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with equal features as one class, named by a digest of the group and the features."""
-    named = rows.withColumn(name, F.sha2(F.to_json(F.struct(*group, *features)), 256))
+    named = rows.withColumn(name, F.unhex(F.sha2(F.to_json(F.struct(*group, *features)), 256)))
     return named, named.groupBy(name).agg(*(F.first(c).alias(c) for c in [*group, *features]), *more)
 
 
-def _meetings(sites: DataFrame, records: DataFrame, group: list[str]) -> DataFrame:
-    """Pairs of classes that share a word or a chunk, or of which the record's text holds the site's active atom, label or kind. A pair without any of these scores .15 at most, which neither links nor takes a margin."""
-    of_sites = sites.select(*group, "sid", F.explode(F.array_distinct(F.concat(_keys(F.col("words"), F.col("chunks")), F.transform(F.filter(F.array("active", "label", "kind"), lambda p: p != ""), lambda p: F.concat(F.lit("p:"), p))))).alias("key"))
-    of_sites = materialise(of_sites, "site-keys")
-    phrases = of_sites.where(F.col("key").startswith("p:"))
-    lengths = phrases.select(*group, (F.char_length("key") - 2).alias("n")).distinct()
-    pieces = F.regexp_extract_all("text", F.concat(F.lit("(?=(.{"), F.col("n").cast("string"), F.lit("}))")), F.lit(1))
-    inside = records.join(lengths, group).select(*group, "rid", F.explode(F.array_distinct(pieces)).alias("piece")).select(*group, "rid", F.concat(F.lit("p:"), "piece").alias("key"))
-    inside = inside.join(phrases.select(*group, "key").distinct(), [*group, "key"], "left_semi")
-    by_word = records.select(*group, "rid", F.explode(_keys(F.col("words"), F.col("chunks"))).alias("key"))
-    of_records = materialise(by_word.unionByName(inside), "record-keys")
-    parts = of_records.groupBy(*group, "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    left = of_records.join(parts, [*group, "key"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    right = of_sites.join(parts, [*group, "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = materialise(left.join(right, [*group, "key", "block"]).select("rid", "sid").distinct(), "meetings")
-    discard(of_sites, of_records)
-    return out
+def _dealt(classes: DataFrame, large: DataFrame, group: list[str], name: str, own: str, far: str) -> DataFrame:
+    """Classes with their block of their side of the group (own), once for each block of the other side (far); a group that is not large is one block."""
+    n = lambda side: F.coalesce(f"{side}s", F.lit(1))
+    both = classes.join(F.broadcast(large), group, "left")  # a row for BLOCK classes at most
+    return both.withColumns({own: F.pmod(F.xxhash64(name), n(own)).cast("int"), far: F.explode(F.sequence(F.lit(0), n(far) - 1))}).drop(f"{own}s", f"{far}s")
+
+
+def _best(sites: DataFrame, records: DataFrame, group: list[str]) -> DataFrame:
+    """(rid, place, score, ahead): the best site of each class of records, and what it is ahead of the group's next one.
+
+    Every pair of classes is scored in the task where their blocks meet, so that texts are shuffled once for each block they meet and pairs not at all: what leaves
+    a task are two scores of a record.
+    """
+    side = lambda rows, r, s: rows.select(*group, F.lit(r).alias("r"), F.lit(s).alias("s"))
+    blocks = lambda n: F.greatest(F.ceil(F.sum(n) / BLOCK), F.lit(1)).cast("int")
+    large = side(records, 1, 0).unionByName(side(sites, 0, 1)).groupBy(*group).agg(blocks("r").alias("rblocks"), blocks("s").alias("sblocks")).where("rblocks > 1 or sblocks > 1")
+    on = [*group, "rblock", "sblock"]
+    # lists of words are made after the shuffle, as they take more room than the text
+    left = _dealt(records, large, group, "rid", "rblock", "sblock").repartition(*on).select(*on, "rid", F.col("text").alias("text_r"), "config", _words(F.col("text")).alias("words_r"), F.col("chunks").alias("chunks_r"))
+    right = _dealt(sites, large, group, "sid", "sblock", "rblock").repartition(*on).select(*on, "label", "kind", "active", F.split("words", " ").alias("words"), "chunks", "n_fields", "place", "n")
+    scored = left.join(right, on).select(*on, "rid", "place", "n", pair_score().alias("score"))
+    equal = lambda rows, keys: rows.groupBy(*keys, "score").agg(F.min("place").alias("place"), F.sum("n").alias("n"))
+    ranked = lambda keys: Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    two = equal(scored, [*on, "rid"]).withColumn("k", F.row_number().over(ranked([*on, "rid"]))).where("k <= 2")
+    whole = equal(two.select("rid", "score", "place", "n").repartition("rid"), ["rid"])
+    following = F.coalesce(F.lead("score").over(ranked(["rid"])), F.lit(0.0))
+    whole = whole.withColumns({"k": F.row_number().over(ranked(["rid"])), "ahead": F.when(F.col("n") > 1, 0.0).otherwise(F.col("score") - following)})
+    return whole.where("k = 1").select("rid", "place", "score", "ahead")
 
 
 def pair_score() -> Column:
@@ -79,26 +86,20 @@ def pair_score() -> Column:
 def link_sites(sites: DataFrame, records: DataFrame, group: list[str]) -> DataFrame:
     """(group columns, record, method, confidence, place): exact_site_id, unique_system_site, fuzzy_site_match or unlinked, for every record."""
     s = sites.select(*group, "place", clean_null(F.col("site")).alias("site"), plain(clean_null(F.col("label"))).alias("label"), plain(clean_null(F.col("kind"))).alias("kind"),
-                     F.lower(F.coalesce(clean_null(F.col("active")), F.lit(""))).alias("active"), _words(plain(F.col("text"))).alias("words"), _chunks().alias("chunks"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
+                     F.lower(F.coalesce(clean_null(F.col("active")), F.lit(""))).alias("active"), F.array_join(_words(plain(F.col("text"))), " ").alias("words"), _chunks().alias("chunks"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
     r = records.select(*group, "record", clean_null(F.col("site")).alias("site"), plain(F.col("text")).alias("text"), plain(F.col("config")).alias("config"), _chunks().alias("chunks"))
     ids = s.where("site is not null").groupBy(*group, "site").agg(F.min("place").alias("by_id"))
     only = s.where("n_fields > 0").groupBy(*group).agg(F.count(F.lit(1)).alias("informative"), F.min("place").alias("by_only"))
-    r = materialise(r.join(ids, [*group, "site"], "left").join(only, group, "left"), "records")
-
-    open_, classes = _classes(r.where("by_id is null and informative > 1"), group, ["text", "config", "chunks"], "r")
-    classes = materialise(classes.withColumns({"words": _words(F.col("text")), "rid": F.monotonically_increasing_id()}), "record-classes")
-    many = s.where("n_fields > 0").join(only.where("informative > 1").select(*group), group, "left_semi").withColumn("n_fields", F.least("n_fields", F.lit(8)))
-    _, kinds = _classes(many, group, ["label", "kind", "active", "words", "chunks", "n_fields"], "s", F.min("place").alias("place"), (F.count(F.lit(1)) > 1).alias("twice"))
-    kinds = materialise(kinds.withColumn("sid", F.monotonically_increasing_id()), "site-classes")  # stored, so that the short ids stay
-    pairs = _meetings(kinds, classes, group)
-    near = pairs.join(kinds.drop(*group), "sid").join(classes.select("rid", F.col("text").alias("text_r"), "config", F.col("words").alias("words_r"), F.col("chunks").alias("chunks_r")), "rid")
-    scored = near.select("rid", "place", "twice", pair_score().alias("score"))
-    w = Window.partitionBy("rid").orderBy(F.col("score").desc(), "place")  # the limit of two goes below the shuffle
-    best = scored.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("rid").agg(F.min_by(F.struct("score", "place", "twice"), "k").alias("top"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
-    top = F.col("top.score")
-    lead = top - F.when(F.col("top.twice"), top).otherwise(F.coalesce("second", F.lit(0.0)))
-    best = best.where((top >= LEAST) & ((lead >= MARGIN) | (top >= SURE))).select("rid", F.col("top.place").alias("by_score"), top.alias("score"))
-    fuzzy = open_.select("record", "r").join(classes.select("r", "rid").join(best, "rid"), "r").select("record", "by_score", "score")
+    named, classes = _classes(r, group, ["text", "config", "chunks"], "rid")
+    r = materialise(named.select(*group, "record", "site", "rid").join(ids, [*group, "site"], "left").join(only, group, "left"), "records")
+
+    open_ = r.where("by_id is null and informative > 1").select("record", "rid")
+    classes = materialise(classes.join(open_.select("rid").distinct(), "rid", "left_semi"), "record-classes")
+    many = s.where("n_fields > 0").withColumn("n_fields", F.least("n_fields", F.lit(8)))
+    _, kinds = _classes(many, group, ["label", "kind", "active", "words", "chunks", "n_fields"], "sid", F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    best = _best(materialise(kinds, "site-classes"), classes, group)
+    best = best.where((F.col("score") >= LEAST) & ((F.col("ahead") >= MARGIN) | (F.col("score") >= SURE)))
+    fuzzy = open_.join(best, "rid").select("record", F.col("place").alias("by_score"), "score")
 
     out = r.join(fuzzy, "record", "left")
     alone = F.col("informative") == 1

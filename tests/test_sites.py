@@ -80,6 +80,35 @@ def test_links_of_empty_tables(spark):
     assert {x["method"] for x in si.link_sites(s.limit(0), r, ["g"]).collect()} == {"unlinked"}
 
 
+def shuffled(spark, make):
+    """Bytes that running what make() returns writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size()))
+
+    before = total()
+    make().write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_links_do_not_shuffle_pairs(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    sites = [(p, f"s{p}", text(1), text(1), "Fe", text(40), [str(p % 5)], 3, p) for p in range(400)]
+    records = [(f"r{k}", None, text(20), text(5), [str(k % 5)]) for k in range(400)]
+
+    def run(size):
+        s = spark.createDataFrame([(str(i // size), *x) for i, x in enumerate(sites)], SITES)
+        r = spark.createDataFrame([(str(i // size), *x) for i, x in enumerate(records)], RECORDS)
+        return lambda: si.link_sites(s, r, ["g"])
+
+    apart, together = shuffled(spark, run(10)), shuffled(spark, run(400))
+    assert 0 < together < 2 * apart  # 40 times the pairs
+
+
 def test_fill(spark):
     sites = spark.createDataFrame([("a", 1, None, None, None, None, "x", None, 2, 7)], SITES)
     records = spark.createDataFrame([("a", "r1", None, None), ("a", "r2", None, 3), ("b", "r3", None, None)], "g string, record string, site string, size int")
