@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mortise.functions import support as su
 from mortise.operators import sites as si
+from mortise.registry import queries
 
 SITES = "g string, place long, site string, label string, kind string, active string, text string, chunks array<string>, n_fields int, size int"
 RECORDS = "g string, record string, site string, text string, config string, chunks array<string>"
@@ -109,6 +110,18 @@ def test_links_do_not_shuffle_pairs(spark):
     assert 0 < together < 2 * apart  # 40 times the pairs
 
 
+def test_record_fills_do_not_shuffle_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(60)]
+    said = [("assistant" if i % 2 else "user", " ".join(rng.choices(vocabulary, k=40))) for i in range(600)]
+    cost = {}
+    for size in (12, 600):
+        rows = [(i // size, i % size, *x) for i, x in enumerate(said)]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{size}/conversations.parquet")
+        cost[size] = shuffled(spark, lambda: queries()["record_fills"](spark, f"{tmp_path}/{size}"))
+    assert 0 < cost[600] < 2 * cost[12]  # 50 times the pairs
+
+
 def test_fill(spark):
     sites = spark.createDataFrame([("a", 1, None, None, None, None, "x", None, 2, 7)], SITES)
     records = spark.createDataFrame([("a", "r1", None, None), ("a", "r2", None, 3), ("b", "r3", None, None)], "g string, record string, site string, size int")
