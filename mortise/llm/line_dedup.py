@@ -33,7 +33,7 @@ columns of any name pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mortise.llm.graph import bounded_broadcast, components
 from mortise.session import discard, materialise
@@ -43,6 +43,8 @@ SHINGLE = 8
 STEP = 4
 BANDS, ROWS = 8, 3
 AGREE = 12
+#: The columns of a signature, of eight bytes each.
+SIG = [f"s{k}" for k in range(BANDS * ROWS // 8)]
 THRESHOLD = 80
 #: Lines of a band's bucket that are all compared with one another there; lines that a block of a larger bucket holds; slots in which shingles are counted.
 FULL, BLOCK, SLOTS = 8, 1000, 2**20
@@ -57,11 +59,14 @@ def _lines(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """A text as its lines are compared, but for the blanks at their ends."""
-    return F.lower(F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+    for mark in ("\t", "\r"):  # looking for a mark costs less than replacing none
+        text = F.when(F.contains(text, F.lit(mark)), F.replace(text, F.lit(mark), F.lit(" "))).otherwise(text)
+    return F.lower(text)
 
 
 def _takes_part(line: Column) -> Column:
-    return F.when(F.char_length(F.btrim(line, F.lit(" \t\r"))) >= MARK_CHARS, True).otherwise(line.rlike(r"[\p{L}\p{N}]"))
+    """Whether a line of a text without tabs and carriage returns takes part."""
+    return F.when(F.char_length(F.trim(line)) >= MARK_CHARS, True).otherwise(line.rlike(r"[\p{L}\p{N}]"))
 
 
 def _key_type(docs: DataFrame) -> str:
@@ -94,7 +99,7 @@ def _occurrences(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """place, sig (a byte of each MinHash value), band_0..: a row for each distinct line, place being its first."""
+    """place, SIG (a byte of each MinHash value), band_0..: a row for each distinct line, place being its first."""
     rows = lines.select("place", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-32").alias("u"))
     rows = rows.withColumn("last", F.greatest(F.octet_length("u") - (4 * SHINGLE - 1), F.lit(1)).cast("int"))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))))
@@ -105,19 +110,23 @@ def _signatures(lines: DataFrame) -> DataFrame:
     lows = [F.min(low(F.xxhash64(F.lit(f"seed {i}")))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     each = rows.groupBy("k1", "k2", "last").agg(F.min("place").alias("place"), *lows)
     byte = [F.call_function("shiftleft", F.col(f"m{i}").bitwiseAND(F.lit(255)), F.lit(8 * (i % 8))) for i in range(BANDS * ROWS)]
-    packs = [sum(byte[k + 1 : k + 8], byte[k]) for k in range(0, BANDS * ROWS, 8)]
+    packs = [sum(byte[8 * k + 1 : 8 * k + 8], byte[8 * k]).alias(s) for k, s in enumerate(SIG)]
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"band_{b}") for b in range(BANDS)]
-    return each.select("place", F.array(*packs).alias("sig"), *bands)
+    return each.select("place", *packs, *bands)
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether the signatures a and b agree in AGREE values or more."""
+def _other() -> list[Column]:
+    return [F.col(s).alias(f"other_{s}") for s in SIG]
+
+
+def _may_link() -> Column:
+    """Whether a row's signature and the other one agree in AGREE values or more."""
     unlike = F.lit(0)
-    for k in range(BANDS * ROWS // 8):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        unlike = unlike + F.bit_count(x)
+    for s in SIG:
+        x = F.col(s).bitwiseXOR(F.col(f"other_{s}"))
+        for mask in (0x7F7F7F7F7F7F7F7F, 0x3F3F3F3F3F3F3F3F):  # a byte that isn't 0 stays so in its lower six bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask))
+        unlike = unlike + F.bit_count((x + F.lit(0x3F3F3F3F3F3F3F3F)).bitwiseAND(F.lit(0x4040404040404040)))
     return BANDS * ROWS - unlike >= AGREE
 
 
@@ -143,24 +152,24 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """members (bucket, place, sig) -> pairs (a, b) that may be similar: each line with its bucket's first and last."""
+    """members (bucket, place, SIG) -> pairs (a, b) that may be similar: each line with its bucket's first and last."""
     ends = members.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
     far = ends.select("bucket", F.explode(F.array("first", "last")).alias("to"))
-    to = far.join(members.select("bucket", F.col("place").alias("to"), F.col("sig").alias("other")), ["bucket", "to"])
-    near = members.join(to, "bucket").where((F.col("place") != F.col("to")) & _may_link("sig", "other"))
+    to = far.join(members.select("bucket", F.col("place").alias("to"), *_other()), ["bucket", "to"])
+    near = members.join(to, "bucket").where((F.col("place") != F.col("to")) & _may_link())
     return materialise(near.select(F.least("place", "to").alias("a"), F.greatest("place", "to").alias("b")).distinct(), "pairs")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """members (bucket, place, sig, root) -> pairs (a, b) of a small bucket with different roots that may be similar."""
+    """members (bucket, place, SIG, root) -> pairs (a, b) of a small bucket with different roots that may be similar."""
     mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = members.join(mixed, "bucket").select("bucket", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"))
-    right = members.select("bucket", F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"))
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("near") != F.col("far")) & _may_link("one", "other")).select("a", "b")
+    left = members.join(mixed, "bucket").select("bucket", F.col("place").alias("a"), *SIG, F.col("root").alias("near"))
+    right = members.select("bucket", F.col("place").alias("b"), *_other(), F.col("root").alias("far"))
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("near") != F.col("far")) & _may_link()).select("a", "b")
 
 
 def _shingle_pairs(members: DataFrame) -> DataFrame:
-    """members (bucket, place, sig, root, n, left) -> pairs (a, b) of a bucket with different roots that may be similar.
+    """members (bucket, place, SIG, root, n, left) -> pairs (a, b) of a bucket with different roots that may be similar.
 
     Lines of the component that has most lines of a bucket meet the others only. A pair is looked at where it may meet for the first time: what is left
     of both lines from this shingle on, in the order of shingles, must hold all that they share.
@@ -169,22 +178,30 @@ def _shingle_pairs(members: DataFrame) -> DataFrame:
     mixed = many.groupBy("bucket").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     some = members.join(mixed.select("bucket", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
     few = some.where(F.col("root") != F.col("major")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    few = few.select("bucket", "block", F.col("place").alias("a"), F.col("sig").alias("one"), F.col("root").alias("near"), F.col("n").alias("na"), F.col("left").alias("lefta"))
-    all_ = some.select("bucket", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("b"), F.col("sig").alias("other"), F.col("root").alias("far"), F.col("n").alias("nb"), F.col("left").alias("leftb"), (F.col("root") == F.col("major")).alias("common"))
+    few = few.select("bucket", "block", F.col("place").alias("a"), *SIG, F.col("root").alias("near"), F.col("n").alias("na"), F.col("left").alias("lefta"))
+    all_ = some.select("bucket", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int").alias("block"), F.col("place").alias("b"), *_other(), F.col("root").alias("far"), F.col("n").alias("nb"), F.col("left").alias("leftb"), (F.col("root") == F.col("major")).alias("common"))
     fits = (100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & ((100 + THRESHOLD) * F.least("lefta", "leftb") >= THRESHOLD * (F.col("na") + F.col("nb")))
-    met = few.join(all_, ["bucket", "block"]).where((F.col("common") | (F.col("a") < F.col("b"))) & (F.col("near") != F.col("far")) & fits & _may_link("one", "other"))
+    met = few.join(all_, ["bucket", "block"]).where((F.col("common") | (F.col("a") < F.col("b"))) & (F.col("near") != F.col("far")) & fits & _may_link())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _by_rare_shingles(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """texts (place, line, n), lines (place, sig, root) -> bucket, place, sig, root, n, left (its shingles from this one on): each of the lines in a bucket for every one of its first floor(n / 5) + 1 shingles, rare ones first."""
-    own = texts.join(bounded_broadcast(lines.select("place")), "place")
-    shingles = own.select("place", "n", F.explode(F.array_distinct(_hashes("line"))).alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
-    counts = materialise(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("seen")), "slots")
-    ranked = shingles.join(F.broadcast(counts), "slot").groupBy("place", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "h"))).alias("all_"))  # SLOTS rows; one line's shingles
-    first = F.slice("all_", F.lit(1), F.floor(F.col("n") * (100 - THRESHOLD) / 100).cast("int") + 1)
-    first = ranked.select("place", "n", F.posexplode(first).alias("at", "x")).select("place", "n", (F.col("n") - F.col("at")).alias("left"), F.col("x.h").alias("bucket"))
-    return first.join(lines, "place").select("bucket", "place", "sig", "root", "n", "left")
+    """texts (place, line, n), lines (place, SIG, root) -> bucket, place, SIG, root, n, left (its shingles from this one on): each of the lines in a bucket for every one of its first floor(n / 5) + 1 shingles, rare ones first.
+
+    A shingle's bucket is its place in the order: 19 bits of its count and 44 of its hash.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = texts.join(bounded_broadcast(lines.select("place")), "place").select("place", "n", F.array_distinct(_hashes("line")).alias("all_"))
+    own = materialise(own.repartition(parts, "place"), "sets")
+    shingles = lambda rows: rows.select("place", "n", F.explode("all_").alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
+    counts = materialise(shingles(own).groupBy("slot").agg(F.count(F.lit(1)).alias("seen")), "slots")
+    counts = counts.select("slot", F.shiftleft(F.least("seen", F.lit(2**19 - 1)), 44).alias("seen"))
+    # dealt by place, to a fixed number of parts, before they are many: a line's shingles are ranked without another shuffle
+    placed = shingles(own.repartition(parts, "place")).join(F.broadcast(counts), "slot")  # SLOTS rows
+    placed = placed.select("place", "n", F.col("seen").bitwiseOR(F.shiftrightunsigned("h", 20)).alias("bucket"))
+    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("place").orderBy("bucket")) - 1)  # one line's shingles
+    first = placed.where(F.col("at") <= F.floor(F.col("n") * (100 - THRESHOLD) / 100)).select("place", "n", (F.col("n") - F.col("at")).alias("left"), "bucket")
+    return first.join(lines, "place").select("bucket", "place", *SIG, "root", "n", "left")
 
 
 def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
@@ -193,9 +210,9 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: Da
     named = materialise(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 3").select("bucket", "size")
     open_ = materialise(named.join(bounded_broadcast(materialise(mixed, "mixed")), "bucket"), "open")
-    large = materialise(open_.where(F.col("size") > FULL).select("place", "sig", "root").distinct(), "large")
+    large = materialise(open_.where(F.col("size") > FULL).select("place", *SIG, "root").distinct(), "large")
     finer = materialise(_by_rare_shingles(texts, large), "finer")
-    pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", "sig", "root")).union(_shingle_pairs(finer)).distinct()
+    pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", *SIG, "root")).union(_shingle_pairs(finer)).distinct()
     out = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     discard(named, open_, large, finer)
     return out
@@ -206,7 +223,7 @@ def kept_places(docs: DataFrame) -> tuple[DataFrame, str]:
     kind = _key_type(docs)
     lines = _occurrences(docs, kind)
     distinct = materialise(_signatures(lines), "lines")
-    members = distinct.select("place", "sig", F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("bucket"))
+    members = distinct.select("place", *SIG, F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("bucket"))
     buckets = materialise(members.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
     members = materialise(members.join(bounded_broadcast(buckets), "bucket"), "members")
     wanted = materialise(members.select("place").distinct(), "wanted")
@@ -231,24 +248,24 @@ def _by_document(docs: DataFrame) -> tuple[DataFrame, str]:
     return kept.select((F.col("place") - pos).cast(kind).alias("m_key"), pos.alias("pos")).groupBy("m_key").agg(F.collect_list("pos").alias("m_kept")), kind
 
 
-def _numbers(lines: Column) -> Column:
-    """The numbers of the lines that take part."""
-    marked = F.transform(lines, lambda x, i: F.when(_takes_part(x), i))
+def _numbers(text: Column) -> Column:
+    """The numbers of the lines of a text that take part."""
+    marked = F.transform(_lines(_plain(text)), lambda x, i: F.when(_takes_part(x), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), n_lines, part (numbers of the lines that take part), gone (of those that go)."""
+def _marked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """row (these columns of docs), n_lines, part (numbers of the lines that take part), gone (of those that go)."""
     found, kind = _by_document(docs)
     lines = _lines(F.col("text"))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(kind).cast(kind).alias("key"), F.size(lines).alias("n_lines"), _numbers(lines).alias("part"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _key(kind).cast(kind).alias("key"), F.size(lines).alias("n_lines"), _numbers(F.col("text")).alias("part"))
     both = own.join(found, F.col("key") == F.col("m_key"), "left")
     return both.select("row", "n_lines", "part", F.array_except("part", F.coalesce("m_kept", F.array().cast("array<int>"))).alias("gone"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, n_lines, n_compared (lines that take part), n_removed, removed (line numbers from 0, comma-joined)."""
-    return _marked(docs.select("doc_id", "text")).select(
+    return _marked(docs.select("doc_id", "text"), ["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("part").cast("long").alias("n_compared"),
         F.size("gone").cast("long").alias("n_removed"), F.array_join(F.array_sort("gone"), ",").alias("removed"),
     )
@@ -261,7 +278,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     numbered = F.transform(lines, lambda x, i: F.concat(F.lpad(i.cast("string"), 10, "0"), x))
     left = F.get(F.transform(F.array(numbered), lambda all_: F.array_except(all_, F.transform("gone", lambda i: F.get(all_, i)))), F.lit(0))
     text = F.array_join(F.transform(left, lambda x: F.substring(x, 11, 2147483647)), "\n")
-    both = _marked(docs).select("row", F.explode(F.array(F.when(F.size("gone") > 0, text))).alias("new"))
+    both = _marked(docs, docs.columns).select("row", F.explode(F.array(F.when(F.size("gone") > 0, text))).alias("new"))
     both = both.where(F.col("new").isNull() | F.col("new").rlike(r"\S"))
     own = {"text": F.coalesce("new", "row.text")}
     if "n_chars" in docs.columns:

@@ -102,3 +102,23 @@ def test_short_and_blank_lines(spark):
     assert removed(spark, rows) == {(2, 0), (2, 2), (4, 0), (5, 0)}
     kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == {1: rows[0][1], 2: "---\nYes.", 3: rows[2][1], 4: "=" * 30, 5: "yes"}
+
+
+def test_texts_are_not_shuffled(spark):
+    """The report needs a document's id and line numbers, so its text stays in the task that reads it."""
+    r = np.random.default_rng(5)
+    rows = [(i, "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(executors(False).apply(i).totalShuffleWrite() for i in range(executors(False).size()))
+
+    before, bound = total(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert line_dedup.line_report(docs).where("n_removed = 0").count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert 0 < total() - before < 200_000  # 1,200,000 characters
