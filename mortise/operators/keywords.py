@@ -2,7 +2,8 @@
 
 A document's graph holds its own words only, and a document is one row; so the walks of a batch of rows are one walk on the union of their graphs, in
 arrays: numbered nodes, edges, and a fixed number of rounds of one sum by node. Spark cuts the words, deals the rows and chooses the best
-phrases; no edge and no rank is shuffled, and what a task holds is a batch cut to MOST_WORDS words, or one longer document. Keys are unique.
+phrases; no edge and no rank is shuffled, and what a task holds is a batch cut to MOST_WORDS words, or one longer document. Keys are unique. Topics are
+all linked with one another, so each document's are walked by themselves.
 
 There is no part-of-speech tagger here: a candidate word is one that is no stop word and has `least` letters or more.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 DAMPING = 0.85
 #: Words whose graphs are walked together; a longer document is walked alone.
 MOST_WORDS = 500_000
+#: Pairs of a document's phrases whose distances are taken at a time, and sums of them that are held from round to round.
+BLOCK_PAIRS, MOST_SUMS = 2**18, 2**24
 
 
 def word_places(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], least: int = 3) -> DataFrame:
@@ -99,16 +102,60 @@ def phrase_ranks(p: Places, by_position: bool, window: int, rounds: int) -> tupl
     return first, total[first]
 
 
-def topic_ranks(p: Places, stem: int, reach: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def nearness(starts: np.ndarray, at: np.ndarray, block: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """first, end, part: for topics first to end - 1, the sum of 1 / distance of their phrases to each phrase of another topic, in about `block` pairs at a time.
+
+    at: the places of one document's phrases, topic by topic; starts: where each topic begins. A topic may come in several parts, which add up.
+    """
+    ends = np.append(starts[1:], len(at))
+    rows = max(1, block // len(at))
+    for low in range(0, len(at), rows):
+        high = min(low + rows, len(at))
+        first, end = int(np.searchsorted(starts, low, "right")) - 1, int(np.searchsorted(starts, high, "left"))
+        gap = np.abs(at[low:high, None] - at)
+        for s, e in zip(starts[first:end], ends[first:end]):
+            gap[max(s, low) - low : min(e, high) - low, s:e] = np.inf
+        yield first, end, np.add.reduceat(1.0 / gap, np.maximum(starts[first:end], low) - low, axis=0)
+
+
+def topic_walk(node: np.ndarray, at: np.ndarray, rounds: int, block: int, damping: float = DAMPING) -> np.ndarray:
+    """The ranks of one document's topics, as walk() gives them, if each pair of phrases of different topics is an edge of weight 1 / distance. node: the topic of each phrase, rising from 0.
+
+    All pairs are summed, which grows with the square of the phrases of a document; sums of more than MOST_SUMS numbers are not held, but made again for each round.
+    """
+    starts = np.flatnonzero(np.diff(node, prepend=-1))
+    count, at = len(starts), at.astype(float)
+    parts = lambda: nearness(starts, at, block)
+    if count * len(at) <= MOST_SUMS:
+        held = np.zeros((count, len(at)))
+        for first, end, part in nearness(starts, at, block):
+            held[first:end] += part
+        parts = lambda: [(0, count, held)]
+
+    def drawn(each: np.ndarray) -> np.ndarray:
+        total = np.zeros(count)
+        for first, end, part in parts():
+            total[first:end] += part @ each
+        return total
+
+    links = drawn(np.ones(len(at)))
+    share = np.divide(damping, links, out=np.zeros(count), where=links > 0)
+    rank = bias = np.full(count, 1.0 / count)
+    for _ in range(rounds):
+        rank = (1 - damping) * bias + drawn((share * rank)[node])
+    return rank
+
+
+def topic_ranks(p: Places, stem: int, rounds: int, block: int = BLOCK_PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """The first place in p.parts of each topic of a document, and the topic's rank."""
     first, last = p.parts[:, 0], p.parts.max(1)
     stems = pc.utf8_slice_codeunits(p.dictionary, 0, stem).dictionary_encode()
     doc = p.doc[first]
-    keys, at, node = np.unique(doc * len(stems.dictionary) + stems.indices.to_numpy().astype(np.int64)[p.code[last]], return_index=True, return_inverse=True)
-    near = [(node[:-d][m], node[d:][m], 1.0 / (p.at[first[d:]] - p.at[first[:-d]])[m]) for d in range(1, reach + 1) for m in [doc[:-d] == doc[d:]]]
-    a, b, weight = (np.concatenate([pair[k] for pair in near]) for k in (0, 1, 2))
-    rank = walk(*summed(a, b, weight, len(keys)), 1.0 / np.bincount(doc[at])[doc[at]], rounds)
-    return at, rank
+    _, at, node = np.unique(doc * len(stems.dictionary) + stems.indices.to_numpy().astype(np.int64)[p.code[last]], return_index=True, return_inverse=True)
+    order = np.argsort(node, kind="stable")  # topic by topic, and so document by document
+    node, place, opens = node[order], p.at[first[order]], np.flatnonzero(np.diff(doc[order], prepend=-1))
+    each = [topic_walk(node[s:e] - node[s], place[s:e], rounds, block) for s, e in zip(opens, np.append(opens[1:], len(order)))]
+    return at, np.concatenate(each)
 
 
 def ranked(places: DataFrame, key: str, longest: int, rank: Callable[[Places], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -143,12 +190,11 @@ def rank_phrases(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], by
     return top(ranked(places, key, longest, lambda p: phrase_ranks(p, by_position, window, rounds)), key, count)
 
 
-def rank_topics(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], stem: int = 5, reach: int = 10, rounds: int = 10, longest: int = 3, count: int = 10) -> DataFrame:
+def rank_topics(docs: DataFrame, key: str, text: str, stop: tuple[str, ...], stem: int = 5, rounds: int = 10, longest: int = 3, count: int = 10) -> DataFrame:
     """key, phrase, score, place: TopicRank with topics by head word.
 
-    A topic is all phrases of a document whose last words share their first `stem` letters. Two topics are linked by 1 / distance of their
-    phrases, over each phrase and the `reach` that follow it, so links grow with the text and not with its square. The walk ranks
-    topics, and a topic is named by its first phrase.
+    A topic is all phrases of a document whose last words share their first `stem` letters. Two topics are linked by the sum of 1 / distance
+    over all pairs of their phrases. The walk ranks topics, and a topic is named by its first phrase.
     """
     places = word_places(docs, key, text, stop)
-    return top(ranked(places, key, longest, lambda p: topic_ranks(p, stem, reach, rounds)), key, count)
+    return top(ranked(places, key, longest, lambda p: topic_ranks(p, stem, rounds)), key, count)

@@ -100,8 +100,8 @@ SELECT doc_id, CAST(k - 1 AS BIGINT) AS ordinal, start, CAST(start + length(x) A
     "single_rank": _phrases("1.0::DOUBLE"),
     "topic_rank": rf"""
 WITH {_PLACES},
-o AS (SELECT doc_id, phrase, pos, substr(words[-1], 1, 5) AS topic, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM occ),
-p AS (SELECT a.doc_id, least(a.topic, b.topic) AS a, greatest(a.topic, b.topic) AS b, sum(1.0 / CAST(b.pos - a.pos AS DOUBLE)) AS weight FROM (SELECT *, unnest(range(k + 1, k + 11)) AS j FROM o) a JOIN o b ON a.doc_id = b.doc_id AND b.k = a.j WHERE a.topic <> b.topic GROUP BY 1, 2, 3),
+o AS (SELECT doc_id, phrase, pos, substr(words[-1], 1, 5) AS topic FROM occ),
+p AS (SELECT a.doc_id, least(a.topic, b.topic) AS a, greatest(a.topic, b.topic) AS b, sum(1.0 / CAST(b.pos - a.pos AS DOUBLE)) AS weight FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.topic <> b.topic GROUP BY 1, 2, 3),
 e AS MATERIALIZED (SELECT * FROM p UNION ALL SELECT doc_id, b, a, weight FROM p),
 f AS (SELECT doc_id, topic AS node, arg_min(phrase, pos) AS phrase FROM o GROUP BY 1, 2),
 n AS MATERIALIZED (SELECT doc_id, node, phrase, 1.0 / count(*) OVER (PARTITION BY doc_id) AS bias FROM f),

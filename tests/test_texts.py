@@ -68,6 +68,29 @@ def test_topics_gather_phrases_by_head(spark):
     assert sum(r.score for r in got) == pytest.approx(1, abs=1e-6)
 
 
+def test_topics_are_linked_over_any_distance(spark, monkeypatch):
+    r = random.Random(9)
+    heads = [f"{a}{b}{c}word" for a in "abcd" for b in "efg" for c in "hij"]
+    rows = [(i, " and ".join(r.choice(heads) for _ in range(n))) for i, n in enumerate((1, 2, 40, 70))] + [(9, " and ".join([heads[0]] * 30 + [heads[1]])), (10, " and ".join([heads[2]] * 5))]
+    want = {}
+    for i, text in rows:
+        words = text.split(" and ")
+        weight = {(a, b): sum(1 / abs(2 * j - 2 * k) for j, x in enumerate(words) for k, y in enumerate(words) if x == a and y == b) for a in words for b in words if a != b}
+        rank = dict.fromkeys(words, 1 / len(set(words)))
+        for _ in range(10):
+            rank = {a: 0.15 / len(rank) + sum(0.85 * w * rank[b] / sum(v for (x, _), v in weight.items() if x == b) for (b, c), w in weight.items() if c == a) for a in rank}
+        want |= {(i, a): pytest.approx(v, abs=2e-9) for a, v in rank.items()}
+    docs = spark.createDataFrame(rows, DOCS)
+    got = keywords.rank_topics(docs, "id", "text", STOP, count=1000).collect()
+    assert {(x.id, x.phrase): x.score for x in got} == want
+    lists = pa.array([[w for word in text.split(" and ") for w in (word, None)] for _, text in rows])
+    whole = keywords.topic_ranks(keywords.Places(lists, 3), 5, 10)
+    monkeypatch.setattr(keywords, "MOST_SUMS", 50)  # sums are made anew each round
+    for block in (1, 100):
+        some = keywords.topic_ranks(keywords.Places(lists, 3), 5, 10, block)
+        assert some[0].tolist() == whole[0].tolist() and some[1] == pytest.approx(whole[1], abs=1e-13)
+
+
 def test_walks_shuffle_only_the_best_phrases(spark):
     docs = spark.createDataFrame([(i, "graph walk and edge node walk") for i in range(30)], DOCS)
     for got in (keywords.rank_phrases(docs, "id", "text", STOP), keywords.rank_topics(docs, "id", "text", STOP)):
