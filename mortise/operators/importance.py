@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mortise.operators.folds import mixed
 from mortise.operators.ranks import numbered
 from mortise.session import materialise
 
-#: Values that meet their rows in one call.
-RANGE_ROWS = 500_000
+#: Values that meet their rows in one call, and that a task sorts at a time.
+RANGE_ROWS, PACK_VALUES = 2_000_000, 4_000_000
+
+
+def _first_bits(high: np.ndarray, bits: int) -> np.ndarray:
+    return (high >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(high.shape, np.int64)
+
+
+def _shrunk(x: np.ndarray) -> bytes:
+    """The numbers compressed, first bytes of all first: those of sorted numbers are much alike."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _restored(x: bytes, kind: str, count: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(x, count * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, count).T).view(kind).ravel()
 
 
 def permutation_importance(df: DataFrame, key: str, features: list[str], target: str, predict: Callable[[DataFrame], DataFrame], repeats: int = 10, seed: int = 0, count: int = 20) -> DataFrame:
@@ -27,40 +41,105 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], target:
     is the mean over repeats of error less base error, to six digits, spread its population deviation; the `count` most important features are given.
 
     Hashes are dealt to equal ranges of about RANGE_ROWS values, so values are shuffled once, and a range of rows meets the ranges of all shuffles that
-    hold its places. Where a range begins in each shuffle is known from counts.
+    hold its places. Where a range begins in each shuffle is known from counts. A task sorts PACK_VALUES values at a time and sends to each range a
+    compressed pack of them, with 64 bits of a hash beyond those that its range stands for.
     """
     names = [*features, target]
     base = numbered(df.select(key, *(F.col(f).cast("double").alias(f) for f in features), target), [F.col(key)])
     tries = len(features) * repeats
     n = base.count()
     bits = max(0, math.ceil(math.log2(max(1, n * tries / RANGE_ROWS))))
-    each = df.select(F.col(key).alias("k_"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)))).alias("x"))
-    each = each.select("k_", "x.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    hashed = each.select((F.col("i") * repeats + F.col("repeat")).alias("try"), mixed(seed, F.col("repeat"), F.col("feature"), F.col("k_")).alias("h"), "value")
-    number = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
-    dealt = hashed.select("try", number(1).alias("high"), number(16).alias("low"), "value").withColumn("range", F.shiftright("high", 60 - bits))
-    many = dealt.groupBy("range", "try").agg(F.count(F.lit(1)).alias("many"))
+    each = df.select(F.col(key).alias("k_"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)))).alias("x")).select("k_", "x.*")
+    hashes = F.concat(*(F.unhex(mixed(seed, F.lit(r), F.col("feature"), F.col("k_"))) for r in range(repeats)))
+    hashed = each.select("i", hashes.alias("h"), "value")
+    size = max(1, n >> bits)
+    most = PACK_VALUES
+
+    def digits(batch: pa.RecordBatch) -> np.ndarray:
+        """The hashes of a batch: row, repeat, first and last 64 bits."""
+        column = batch.column("h").cast(pa.binary(16 * repeats))
+        return np.frombuffer(column.buffers()[1], ">u8").reshape(-1, repeats, 2)[column.offset : column.offset + len(column)].astype(np.uint64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.zeros((tries, 1 << bits), dtype=np.int64)
+        for batch in batches:
+            own, i = _first_bits(digits(batch)[:, :, 0], bits), batch.column("i").to_numpy()
+            for f in range(len(features)):
+                for r in range(repeats):
+                    many[f * repeats + r] += np.bincount(own[i == f, r], minlength=1 << bits)
+        t, k = np.nonzero(many)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t, pa.int32()), pa.array(many[t, k])], names=["range", "try", "many"])
+
+    many = hashed.select("i", "h").mapInArrow(counted, "range long, try int, many long").groupBy("range", "try").agg(F.sum("many").alias("many"))
     start = F.sum("many").over(Window.partitionBy("try").orderBy("range")) - F.col("many")
     starts = materialise(many.withColumn("start", start), "starts")  # a row for each range and shuffle
-    heads = starts.select("try", F.lit(-1).cast("long").alias("high"), F.lit(-1).cast("long").alias("low"), F.col("start").cast("double").alias("value"), "range")
-    size = max(1, n >> bits)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows * repeats >= most:
+                yield packs(held)
+                held, rows = [], 0
+        if rows:
+            yield packs(held)
+
+    def packs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        hashes, i = np.concatenate([digits(b) for b in batches]), np.concatenate([b.column("i").to_numpy() for b in batches])
+        column = pa.chunked_array([b.column("value") for b in batches]).combine_chunks()
+        values, gaps = column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+        sorted_, ends = [], []
+        for f in range(len(features)):
+            of = np.flatnonzero(i == f)
+            for r in range(repeats):
+                high, low = hashes[of, r, 0], hashes[of, r, 1]
+                order = np.argsort(high)
+                high, low, at = high[order], low[order], of[order]
+                rest = (high << np.uint64(bits)) | (low >> np.uint64(64 - bits)) if bits else high
+                sorted_.append((rest, values[at], gaps[at]))
+                ends.append(np.append(0, np.cumsum(np.bincount(_first_bits(high, bits), minlength=1 << bits))))
+        ends = np.array(ends)
+        counts = np.diff(ends)
+        some = np.flatnonzero(counts.sum(0))
+        parts = [[np.concatenate([x[c][e[k] : e[k + 1]] for x, e in zip(sorted_, ends)]) for c in range(3)] for k in some]
+        columns = [pa.array([_shrunk(part[c]) for part in parts], pa.binary()) for c in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(counts[:, some].T), pa.list_(pa.int64())), *columns], names=["range", "counts", "rest", "values", "gaps"])
+
+    dealt = hashed.mapInArrow(packed, "range long, counts array<long>, rest binary, values binary, gaps binary")
+    begins = F.map_from_entries(F.collect_list(F.struct("try", "start")))
+    heads = starts.groupBy("range").agg(begins.alias("b"))  # an entry for each shuffle
+    none = F.lit(None).cast("binary")
+    heads = heads.select("range", F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.coalesce(F.element_at("b", t), F.lit(-1))).alias("counts"), none.alias("rest"), none.alias("values"), none.alias("gaps"))
     spans = starts.groupBy("range").agg(F.min("start").alias("from"), F.max(F.col("start") + F.col("many")).alias("to"))
     cells = spans.select("range", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((F.col("to") - 1) / size))).alias("cell"))
     held = base.withColumn("cell", F.floor(F.col("place") / size)).join(cells, "cell").where((F.col("place") >= F.col("from")) & (F.col("place") < F.col("to"))).select("range", "place", *names)
     kinds = "try int, " + ", ".join(f"`{c}` {t}" for c, t in held.select(*names).dtypes)
 
-    def meet(values: pa.Table, rows: pa.Table) -> pa.Table:
-        values = values.take(pa.array(np.lexsort([values.column(c).to_numpy() for c in ("low", "high", "try")])))
-        rows = rows.take(pa.array(np.argsort(rows.column("place").to_numpy())))  # without gaps
-        own, first = values.column("try").to_numpy(), values.column("high").to_numpy() < 0
-        at = np.flatnonzero(first)
-        begin = values.column("value").to_numpy()[at].astype(np.int64) - at - 1
-        place = (begin[np.cumsum(first) - 1] + np.arange(len(own)))[~first]
-        values = values.filter(pa.array(~first))
-        own = own[~first]
-        rows = rows.take(pa.array(place - rows.column("place")[0].as_py()))
-        changed = [pc.if_else(pa.array(own // repeats == i), values.column("value"), rows.column(f)) for i, f in enumerate(features)]
-        return pa.table([pa.array(own, pa.int32()), *changed, rows.column(target)], names=["try", *names])
+    def meet(packs: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        rows = rows.take(pa.array(np.argsort(rows.column("place").to_numpy()))).combine_chunks()  # without gaps
+        first = rows.column("place")[0].as_py()
+        pieces: list[list[list[np.ndarray]]] = [[] for _ in range(tries)]
+        for own, *shrunk in zip(*(packs.column(c).to_pylist() for c in ("counts", "rest", "values", "gaps"))):
+            if shrunk[0] is None:
+                begin = own
+                continue
+            ends = np.cumsum(own)
+            columns = [_restored(x, kind, int(ends[-1])) for x, kind in zip(shrunk, ("<u8", "<f8", "?"))]
+            for t in np.flatnonzero(own):
+                pieces[t].append([c[ends[t] - own[t] : ends[t]] for c in columns])
+        out = []
+        for t, mine in enumerate(pieces):
+            if mine:
+                rest, values, gaps = (np.concatenate([x[c] for x in mine]) for c in range(3))
+                order = np.argsort(rest)
+                if (rest[order[1:]] == rest[order[:-1]]).any():  # hashes that are alike this far keep to the order of their values
+                    order = np.lexsort((gaps, values, rest))
+                changed = rows.slice(begin[t] - first, len(order)).select(names)
+                changed = changed.set_column(t // repeats, features[t // repeats], pa.array(values[order], mask=gaps[order]))
+                out.append(changed.add_column(0, "try", pa.array(np.full(len(order), t, np.int32))))
+        return pa.concat_tables(out)
 
     met = dealt.unionByName(heads).groupBy("range").cogroup(held.groupBy("range")).applyInArrow(meet, kinds)
     changed = met.withColumns({"feature": F.element_at(F.array(*map(F.lit, features)), (F.floor(F.col("try") / repeats) + 1).cast("int")), "repeat": F.col("try") % repeats})

@@ -103,6 +103,34 @@ def test_permutation_importance_over_many_ranges_equals_plain(spark, monkeypatch
         assert (got[f].mae, got[f].spread) == pytest.approx((np.mean(each), np.std(each)))
 
 
+def shuffled(spark, run):
+    """Bytes that run() writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_permutation_importance_shuffles_packs_of_values(spark, monkeypatch):
+    monkeypatch.setattr(importance, "RANGE_ROWS", 100_000)
+    r = np.random.default_rng(2)
+    rows = [(f"{i:06}", float(a), float(b) if i % 7 else None) for i, (a, b) in enumerate(zip(r.uniform(size=10_000).round(4), r.integers(0, 9, 10_000)))]
+    df = spark.createDataFrame(rows, "id string, a double, b double").withColumn("y", F.col("a") + 1)
+    predict = lambda x: x.withColumn("prediction", F.col("a") + F.coalesce("b", F.lit(-5.0)))
+    run = lambda repeats: {x.feature: x for x in importance.permutation_importance(df, "id", ["a", "b"], "y", predict, repeats=repeats, seed=3).collect()}
+    few, many = shuffled(spark, lambda: run(1)), shuffled(spark, lambda: run(21))
+    assert (many - few) / 20 / (2 * len(rows)) < 16  # bytes a value: 8 of its hash, and what the value takes
+    got = run(2)["b"]
+    dealt = [sorted(rows, key=lambda x: hashlib.md5(f"3:{k}:b:{x[0]}".encode()).hexdigest()) for k in range(2)]
+    each = [np.mean([abs(x[1] + (-5.0 if d[2] is None else d[2]) - x[1] - 1) for x, d in zip(rows, way, strict=True)]) for way in dealt]
+    assert (got.mae, got.spread) == pytest.approx((np.mean(each), np.std(each)))
+
+
 def test_models_are_fitted_on_as_many_parts_as_cores(spark):
     parts = []
 
