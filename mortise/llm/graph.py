@@ -8,6 +8,8 @@ from mortise.session import discard, materialise
 
 #: Rows of ids (one or two longs each) that may be broadcast: 2 million of them hold under 64 MB on an executor.
 BROADCAST_ROWS = 2_000_000
+#: How often a table may be read so that its keys need no shuffle.
+PASSES = 8
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -15,6 +17,20 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined_in_passes(df: DataFrame, keys: DataFrame, on: str) -> list[DataFrame]:
+    """Frames that together are df.join(keys, on), to be stored one after the other; keys should be a stored table.
+
+    Each has BROADCAST_ROWS keys or so to broadcast, so df is read once for each, but not shuffled. What would take more than PASSES is one shuffle join.
+    """
+    passes = -(-keys.count() // BROADCAST_ROWS)
+    if passes < 2:
+        return [df.join(F.broadcast(keys), on)]
+    if passes > PASSES:
+        return [df.join(keys, on)]
+    own = F.pmod(F.xxhash64(on), F.lit(passes))
+    return [df.join(F.broadcast(keys.where(own == k)), on) for k in range(passes)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root) for every node with a link; root is the smallest node of its component.
 

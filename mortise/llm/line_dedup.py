@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mortise.llm.graph import bounded_broadcast, components
+from mortise.llm.graph import bounded_broadcast, components, joined_in_passes
 from mortise.session import discard, materialise
 
 MARK_CHARS = 25
@@ -69,6 +69,10 @@ def _takes_part(line: Column) -> Column:
     return F.when(F.char_length(F.trim(line)) >= MARK_CHARS, True).otherwise(line.rlike(r"[\p{L}\p{N}]"))
 
 
+def _stored(parts: list[DataFrame], name: str) -> DataFrame:
+    return materialise(parts[0], name, *parts[1:])
+
+
 def _key_type(docs: DataFrame) -> str:
     """long where ids are unique and leave room for line numbers, else a decimal that also holds a hash of the text."""
     low, high, rows, ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
@@ -191,13 +195,13 @@ def _by_rare_shingles(texts: DataFrame, lines: DataFrame) -> DataFrame:
     A shingle's bucket is its place in the order: 19 bits of its count and 44 of its hash.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = texts.join(bounded_broadcast(lines.select("place")), "place").select("place", "n", F.array_distinct(_hashes("line")).alias("all_"))
-    own = materialise(own.repartition(parts, "place"), "sets")
+    own = texts.join(bounded_broadcast(lines.select("place")), "place").select("place", "n", "line")
+    # dealt by place, to a fixed number of parts, as texts: shingles are made after that, and a line's are ranked without another shuffle
+    own = own.repartition(parts, "place").select("place", "n", F.array_distinct(_hashes("line")).alias("all_"))
     shingles = lambda rows: rows.select("place", "n", F.explode("all_").alias("h")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
     counts = materialise(shingles(own).groupBy("slot").agg(F.count(F.lit(1)).alias("seen")), "slots")
     counts = counts.select("slot", F.shiftleft(F.least("seen", F.lit(2**19 - 1)), 44).alias("seen"))
-    # dealt by place, to a fixed number of parts, before they are many: a line's shingles are ranked without another shuffle
-    placed = shingles(own.repartition(parts, "place")).join(F.broadcast(counts), "slot")  # SLOTS rows
+    placed = shingles(own).join(F.broadcast(counts), "slot")  # SLOTS rows
     placed = placed.select("place", "n", F.col("seen").bitwiseOR(F.shiftrightunsigned("h", 20)).alias("bucket"))
     placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("place").orderBy("bucket")) - 1)  # one line's shingles
     first = placed.where(F.col("at") <= F.floor(F.col("n") * (100 - THRESHOLD) / 100)).select("place", "n", (F.col("n") - F.col("at")).alias("left"), "bucket")
@@ -209,7 +213,7 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, done: Da
     named = members.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
     named = materialise(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 3").select("bucket", "size")
-    open_ = materialise(named.join(bounded_broadcast(materialise(mixed, "mixed")), "bucket"), "open")
+    open_ = _stored(joined_in_passes(named, materialise(mixed, "mixed"), "bucket"), "open")
     large = materialise(open_.where(F.col("size") > FULL).select("place", *SIG, "root").distinct(), "large")
     finer = materialise(_by_rare_shingles(texts, large), "finer")
     pairs = _all_pairs(open_.where(F.col("size") <= FULL).select("bucket", "place", *SIG, "root")).union(_shingle_pairs(finer)).distinct()
@@ -225,9 +229,9 @@ def kept_places(docs: DataFrame) -> tuple[DataFrame, str]:
     distinct = materialise(_signatures(lines), "lines")
     members = distinct.select("place", *SIG, F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("bucket"))
     buckets = materialise(members.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    members = materialise(members.join(bounded_broadcast(buckets), "bucket"), "members")
+    members = _stored(joined_in_passes(members, buckets, "bucket"), "members")
     wanted = materialise(members.select("place").distinct(), "wanted")
-    texts = materialise(_sized(lines.join(bounded_broadcast(wanted), "place")), "texts")
+    texts = _stored([_sized(x) for x in joined_in_passes(lines, wanted, "place")], "texts")
     done = _pairs(members)
     roots = components(_verified(texts, done))
     # pairs of the first round whose lines still have different roots are known not to link

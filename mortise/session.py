@@ -38,11 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again, so that a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
+    """Cuts lineage: writes df, and more frames like it, as a table in the shared folder and reads it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for other in more:
+        other.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mortise_path = path
     return out

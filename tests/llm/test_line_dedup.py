@@ -4,8 +4,10 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mortise.llm import graph, line_dedup
+from mortise.session import materialise
 
 DOCS = "doc_id long, text string"
 
@@ -122,3 +124,38 @@ def test_texts_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     assert 0 < total() - before < 200_000  # 1,200,000 characters
+
+
+def test_keys_beyond_one_broadcast_are_met_in_passes(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    line = lambda: " ".join("".join(r.choice(list("abcdefghij"), 6)) for _ in range(12))
+    rows = [(i, "\n".join(line() for _ in range(3))) for i in range(20)]
+    rows += [(20 + i, x[:-3] + "xyz") for i, x in rows] + [(50, rows[0][1])]
+    want = removed(spark, rows)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 7)
+    for passes in (100, 1):  # then by a shuffle
+        monkeypatch.setattr(graph, "PASSES", passes)
+        assert removed(spark, rows) == want and len(want) > 20
+    monkeypatch.setattr(graph, "PASSES", 8)
+    keys = materialise(spark.range(0, 100, 4).withColumnRenamed("id", "k"), "keys")
+    frames = graph.joined_in_passes(spark.range(200).withColumnRenamed("id", "k"), keys, "k")
+    assert len(frames) == 4 and sorted(x.k for f in frames for x in f.collect()) == list(range(0, 100, 4))
+    assert not any("SortMergeJoin" in f._jdf.queryExecution().executedPlan().toString() for f in frames)
+
+
+def test_rare_shingles_shuffle_texts_not_sets(spark):
+    r = np.random.default_rng(12)
+    text = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 2_000))
+    rows = [(i, text[i:] + text[:i]) for i in range(60)]
+    texts = materialise(line_dedup._sized(spark.createDataFrame(rows, "place long, line string").coalesce(1)), "texts")
+    lines = materialise(texts.select("place", *(F.lit(0).cast("long").alias(c) for c in line_dedup.SIG), F.col("place").alias("root")), "lines")
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(executors(False).apply(i).totalShuffleWrite() for i in range(executors(False).size()))
+
+    before = total()
+    got = line_dedup._by_rare_shingles(texts, lines).groupBy("place").count().collect()
+    assert len(got) == 60 and all(x["count"] == 1_993 // 5 + 1 for x in got)
+    assert total() - before < 400_000  # 120,000 characters; sets are eight times that
