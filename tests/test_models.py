@@ -196,6 +196,36 @@ def test_kernel_and_choice(spark):
     assert by["kernel"] > 0.97 and by["elastic"] < 0.3 < by["forest"] + 0.3 and components.chosen(scores) == "kernel"
 
 
+def test_models_on_classes_equal_models_on_rows(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(3 * a - b * b + r.normal()), int(r.integers(3))) for a, b in zip(r.integers(0, 6, 3_000), r.integers(0, 4, 3_000))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int").repartition(5)
+    x, y = np.array([z[:2] for z in rows]), np.array([z[2] for z in rows])
+    own = [float(v) for v in components.Boosted(3, 10, 1).fit(df, ["a", "b"], "y")(df.select("a", "b", "y")).selectExpr("sum(prediction)", "sum(abs(prediction - y))").first()]
+    plain = components.Estimated(components.GBTRegressor(maxDepth=3, maxIter=10, seed=1)).fit(df, ["a", "b"], "y")
+    assert own == pytest.approx([float(v) for v in plain(df).selectExpr("sum(prediction)", "sum(abs(prediction - y))").first()], rel=1e-9)
+    best = np.abs(y - np.array([y[(x == z).all(1)].mean() for z in x])).mean()
+    spread = []
+    for most in (10_000, 0):  # Spark's forest on rows, and trees on classes
+        monkeypatch.setattr(components, "FOREST_ROWS", most)
+        spread += [components.Forest(6, 8, 2).fit(df, ["a", "b"], "y")(df).selectExpr("avg(abs(prediction - y)) as e").first().e]
+    assert all(best <= e < 0.5 * np.abs(y - y.mean()).mean() for e in spread) and spread[0] == pytest.approx(spread[1], rel=0.3), spread
+
+
+def test_predictions_are_made_once_a_class(spark):
+    seen = []
+
+    class Mean:
+        def fit(self, df, features, target):
+            of = lambda other: seen.append(other.count()) or other.withColumn("prediction", F.col("x") * 2)
+            return of
+
+    df = spark.range(600).selectExpr("cast(id % 7 as double) as x", "cast(id as double) as y", "cast(id % 3 as int) as fold")
+    got = components.cross_validated(df, ["x"], "y", "fold", {"mean": Mean()}).collect()
+    assert seen == [7, 7, 7] and sorted((g.fold, g.n) for g in got) == [(0, 200), (1, 200), (2, 200)]
+    assert {g.fold: g.mae for g in got} == {k: pytest.approx(np.mean([abs(i - 2 * (i % 7)) for i in range(600) if i % 3 == k])) for k in range(3)}
+
+
 def simulated(n, phi, theta, seed, c=0.0):
     r = np.random.default_rng(seed)
     e, w = r.normal(size=n + 100), np.zeros(n + 100)
